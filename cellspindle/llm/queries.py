@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellspindle.llm import spans, survivors
+from cellspindle.llm import containers, spans, survivors, tokens
 from cellspindle.session import table
 
 QUERIES = {
@@ -10,8 +10,20 @@ QUERIES = {
     "p4_shared": lambda s, d: spans.shared_part(table(s, d, "read1"), table(s, d, "kmer_idx")),
     "p5_found": lambda s, d: survivors.field_sources(table(s, d, "rcd")),
     "p5_survivors": lambda s, d: survivors.survivors(table(s, d, "rcd")),
+    "p6_ids": lambda s, d: _encoded(table(s, d, "documents")),
+    "p7_containers": lambda s, d: _packed(table(s, d, "documents")),
+    "p7_report": lambda s, d: containers.fill_report(_packed(table(s, d, "documents"))),
 }
 
+
+def _encoded(docs):
+    return tokens.encode_corpus(docs, docs["doc_id"], docs["text"])
+
+
+def _packed(docs):
+    return containers.pack_documents(docs, docs["doc_id"], docs["text"])
+
+
 P4 = """
 with w as (
   select read_id, i, substr(seq, i + 1, 40) as k from (select read_id, seq, unnest(range(0, length(seq) - 39)) as i from read1 where length(seq) >= 40)
