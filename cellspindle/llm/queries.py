@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellspindle.llm import containers, spans, survivors, tokens
+from cellspindle.llm import containers, pii, spans, surrogates, survivors, tokens
 from cellspindle.session import table
 
 QUERIES = {
@@ -12,6 +12,8 @@ QUERIES = {
     "p5_survivors": lambda s, d: survivors.survivors(table(s, d, "rcd")),
     "p6_ids": lambda s, d: _encoded(table(s, d, "documents")),
     "p7_containers": lambda s, d: _packed(table(s, d, "documents")),
+    "p8_found": lambda s, d: _found(table(s, d, "documents"), table(s, d, "name_list")),
+    "p8_texts": lambda s, d: _replaced(table(s, d, "documents"), table(s, d, "name_list")),
     "p7_report": lambda s, d: containers.fill_report(_packed(table(s, d, "documents"))),
 }
 
@@ -20,6 +22,14 @@ def _encoded(docs):
     return tokens.encode_corpus(docs, docs["doc_id"], docs["text"])
 
 
+def _found(docs, names):
+    return pii.find_personal(docs, docs["doc_id"], docs["text"], names)
+
+
+def _replaced(docs, names):
+    return surrogates.replace_personal(docs, docs["doc_id"], docs["text"], names)
+
+
 def _packed(docs):
     return containers.pack_documents(docs, docs["doc_id"], docs["text"])
 
