@@ -325,7 +325,7 @@ select aln_id from q where list_sum(l) / len(l) >= 30 and length(seq) - length(r
 from {_reads(256, 0)} and seq is not null and seq <> '*' and {_T["CB"]} is not null and {_T["UR"]} is not null""",
     "add_tags": "select aln_id, 'lib1' as lb, 'Z' as re, tags['CB'] as cb from alignments",
     "species": "select aln_id, case when chrom in (select chrom from bed) then case when length(chrom) > 4 then 'specb' else 'speca' end end as sp from alignments",
-    "hex_bases": f"""select aln_id, rpad(array_to_string(list_transform(string_split(to_hex(aln_id), ''), lambda c: substr('ACGT', ({_HEX}) // 4 + 1, 1) || substr('ACGT', ({_HEX}) % 4 + 1, 1)), ''),
+    "hex_bases": f"""select aln_id, rpad(array_to_string(list_transform(string_split(to_hex(aln_id), ''), lambda c: substr('ACGT', ({_HEX}) % 4 + 1, 1) || substr('ACGT', ({_HEX}) // 4 + 1, 1)), ''),
   greatest(10, 2 * length(to_hex(aln_id)))::int, 'A') as bases from alignments""",
     "name_tags": "select read_id, regexp_extract(name, '^[@>]?([^|]*)', 1) as id, nullif(regexp_extract(name, '\\|SR:i:([^|]*)', 1), '') as sr from read1",
     "parse_rules": """
