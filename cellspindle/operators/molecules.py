@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,12 +83,47 @@ def umi_clusters(df: DataFrame, block: Sequence[str] = ("CB", "GN"), umi: str =
     rows = df.where(flags.passes("correct")).select(*[tag(b).alias(k) for b, k in zip(block, keys, strict=True)], tag(umi).alias("umi")).dropna()
     counts = rows.groupBy(*keys, "umi").agg(F.count("*").alias("n")).withColumn("of", F.count("*").over(Window.partitionBy(*keys)))
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(corrected=_components(pdf["umi"].tolist(), pdf["n"].tolist(), distance))
-
     schema = ", ".join([*[f"{k} string" for k in keys], "umi string", "n long", "corrected string"])
-    several = counts.where("of > 1").drop("of").groupBy(*keys).applyInPandas(cluster, schema)
-    return several.unionByName(counts.where("of = 1").drop("of").withColumn("corrected", F.col("umi")))
+    several = counts.where("of > 1").drop("of").repartition(*keys).sortWithinPartitions(*keys)
+    done = several.mapInArrow(_cluster_rows(len(keys), distance), schema)
+    return done.unionByName(counts.where("of = 1").drop("of").withColumn("corrected", F.col("umi")))
+
+
+def _cluster_rows(n_keys: int, distance: int):
+    """Blocks of sorted partitions, one after the other; a block may span batches."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        key: tuple | None = None
+        umis: list[str] = []
+        counts: list[int] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if key is not None:
+                out.extend((*key, u, n, c) for u, n, c in zip(umis, counts, _components(umis, counts, distance), strict=True))
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = [pa.string()] * (n_keys + 1) + [pa.int64(), pa.string()]
+            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=[*names, "corrected"])
+
+        for batch in batches:
+            names = batch.schema.names
+            for *k, umi, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if tuple(k) != key:
+                    close()
+                    key, umis, counts = tuple(k), [], []
+                umis.append(umi)
+                counts.append(n)
+            if out:
+                yield batch_of()
+                out = []
+        close()
+        if out:
+            yield batch_of()
+
+    return rows
 
 
 def one_gene_per_umi(clusters: DataFrame, cell: str = "cb", gene: str = "gn") -> DataFrame:
