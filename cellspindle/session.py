@@ -69,5 +69,29 @@ def write_shared_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     return uri
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per application.
+
+    The package goes through the shared folder as a zip, so workers need no installation.
+    """
+    import io
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(write_shared_bytes(spark, data.getvalue(), "cellspindle.zip"))
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
