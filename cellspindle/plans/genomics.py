@@ -258,9 +258,12 @@ fr as (select chrom, barcode, greatest(case when size > 0 then s + 4 when size <
 frags as (select chrom, start, "end", barcode, count(*) as dup from fr where start < "end" group by all)
 """
 
-_CLUSTERS = f"""
+
+
+def _clusters(block: str) -> str:
+    return f"""
 with recursive counts as (
-  select gn, umi, count(*) as n from (select {_T["GN"]} as gn, {_T["UR"]} as umi from {_reads(3844, 0)}) where gn is not null and umi is not null group by 1, 2
+  select gn, umi, count(*) as n from (select {block} as gn, {_T["UR"]} as umi from {_reads(3844, 0)}) where gn is not null and umi is not null group by 1, 2
 ), masks as (
   select gn, umi, i, substr(umi, 1, i - 1) || '_' || substr(umi, i + 1) as m from (select gn, umi, unnest(range(1, length(umi) + 1)) as i from counts)
 ), edges as (
@@ -274,6 +277,15 @@ with recursive counts as (
 )
 """
 
+
+_CLUSTERS = _clusters(_T["GN"])
+_MASKED = """
+wm as (select entry, substr(entry, 1, i - 1) || 'N' || substr(entry, i + 1) as m from (select entry, unnest(range(1, length(entry) + 1)) as i from w)),
+u as (select m, min(entry) as entry from wm group by 1 having count(*) = 1),
+qm as (select query, i, substr(query, 1, i - 1) || 'N' || substr(query, i + 1) as m from (select query, unnest(range(1, length(query) + 1)) as i from q where query not in (select entry from w))),
+near as (select query, query as entry, true as exact from q where query in (select entry from w) union all select query, arg_min(entry, i), false from qm join u using (m) group by 1)
+"""
+
 SQL = {
     "count_matrix": _features() + "select feature, cell, count(distinct umi) as n from f where umi is not null group by 1, 2",
     "count_reads": _features() + "select feature, cell, count(*) as n from f group by 1, 2",
@@ -307,6 +319,14 @@ union all select aln_id, chrom, pos, flag from r where coalesce(flag, 0) & 4 <>
     "umi_clusters": _CLUSTERS + "select gn, umi, n, corrected from clusters",
     "umi_correct": _CLUSTERS
     + f"""select aln_id, corrected as ub from alignments a left join clusters c on nullif(a.tags['GN'], '') = c.gn and nullif(a.tags['UR'], '') = c.umi and coalesce(a.flag, 0) & 3844 = 0""",
+    "umi_one_gene": _clusters(f"{_T['CB']} || '|' || {_T['GN']}")
+    + """, s as (select split_part(gn, '|', 1) as cb, split_part(gn, '|', 2) as gn, corrected, sum(n) as n from clusters group by 1, 2, 3),
+r as (select *, max(n) over (partition by cb, corrected) as top from s), t as (select *, count(*) over (partition by cb, corrected) as ties from r where n = top)
+select cb, gn, corrected, n from t where ties = 1""",
+    "rmdup_mark": f"""
+with r as (select *, {_T["CB"]} as cb, {_T["UR"]} as ur, coalesce(flag, 0) & 4 <> 0 as un, case when coalesce(qual, '*') in ('*', '') then 0 else list_sum(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33)) end as q from {_reads(2816, 0)}),
+k as (select *, row_number() over (partition by un, chrom, pos, cb, ur order by q desc, aln_id) as k from r where un or (cb is not null and ur is not null))
+select aln_id, case when un or (k = 1 and chrom is not null and pos is not null) then flag else coalesce(flag, 0) | 1024 end as flag from k""",
     "fusion_pairs": f"""
 with s as (select distinct {_T["CB"]} as cb, substr({_T["UR"]}, 1, 3) as umi, {_T["GN"]} as g from {_reads(768, 0)}), t as (select * from s where cb is not null and umi is not null and g is not null and g not like '%;%'),
 k as (select cb, umi from t group by 1, 2 having count(*) between 2 and 4), m as (select cb, umi, string_agg(g, ';' order by g) as genes from t join k using (cb, umi) group by 1, 2),
@@ -332,14 +352,14 @@ from {_reads(256, 0)} and seq is not null and seq <> '*' and {_T["CB"]} is not n
 with r as (select regexp_extract(name, '^[@>]?([^|]*)', 1) as id, seq, qual from read1)
 select id || case when substr(seq, 1, 16) <> '' then '|||CR:Z:' || substr(seq, 1, 16) else '' end || case when substr(seq, 17, 10) <> '' then '|||UR:Z:' || substr(seq, 17, 10) else '' end as name,
   substr(seq, 27) as seq, substr(qual, 27) as qual, 'exact' as status from r where seq is not null and upper(substr(seq, 27)) not like '%N%'""",
+    "parse_listed": f"""
+with w as (select distinct substr(barcode, 1, 5) as entry from barcodes), r as (select regexp_extract(name, '^[@>]?([^|]*)', 1) as id, seq, qual, substr(seq, 1, 5) as query from read1),
+q as (select distinct query from r where query is not null), {_MASKED}
+select id || '|||CR:Z:' || query || '|||CB:Z:' || entry as name, substr(seq, 6, 25) as seq, substr(qual, 6, 25) as qual, case when exact then 'exact' else 'corrected' end as status from r join near using (query)""",
     "whitelist_exact": f"select distinct {_T['CB']} as query from alignments where {_T['CB']} in (select barcode from barcodes)",
     "whitelist_mismatch": f"""
 with w as ({_KNOWN}), q as (select distinct {_T["CB"]} as query from alignments where {_T["CB"]} is not null),
-wm as (select entry, substr(entry, 1, i - 1) || 'N' || substr(entry, i + 1) as m from (select entry, unnest(range(1, length(entry) + 1)) as i from w)),
-u as (select m, min(entry) as entry from wm group by 1 having count(*) = 1),
-qm as (select query, i, substr(query, 1, i - 1) || 'N' || substr(query, i + 1) as m from (select query, unnest(range(1, length(query) + 1)) as i from q where query not in (select entry from w)))
-select query, query as entry, true as exact from q where query in (select entry from w)
-union all select query, arg_min(entry, i), false from qm join u using (m) group by 1""",
+{_MASKED} select * from near""",
     "whitelist_edit": f"""
 with w as ({_KNOWN}), q as (select distinct {_T["CB"]} as query from alignments where {_T["CB"]} is not null),
 p as (select query, entry, levenshtein(query, entry) as distance from q, w where levenshtein(query, entry) <= 2)

@@ -93,9 +93,18 @@ from summary s left join (
 """
 )
 
+P2_ROWS = (
+    P2_BASE
+    + """
+select line_id, file_id, qname, cast(flag as int) as flag, rname, cast(pos as int) as pos, cast(mapq as int) as mapq, cigar, rnext, cast(pnext as int) as pnext, cast(tlen as int) as tlen, seq, qual, tags
+from judged where quoted_well and wide and good
+"""
+)
+
 SQL = {
     "p1_found": P1,
     "p2_found": P2,
+    "p2_rows": P2_ROWS,
     "p2_report": P2_REPORT,
     "p3_found": "select tags['CB'] as cb, count(*) as n_record from alignments where tags['CB'] <> '' group by 1",
     "p3_runs": """
