@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellspindle.functions import cigar, seq, tags
 from cellspindle.operators import coverage, counting, filters, genes, intervals, molecules, read_structure, whitelist
 from cellspindle.operators.filters import tag
+from cellspindle.plans import problems
 from cellspindle.session import table
 from cellspindle.sources import text
 from cellspindle.streaming import blocks
@@ -278,6 +279,23 @@ with recursive counts as (
 """
 
 
+_BED_TYPES = f"""
+with {_PART}, r as (select bed_id, chrom, bed_start as s, bed_end as e, strand from bed where chrom is not null and bed_start >= 0 and bed_end > bed_start),
+near as (select r.*, g.k, g.strand as gstrand, g.coding, b - 1 as gs, b - 1 + z * 2000 as ge, coalesce(r.strand in ('+', '-') and r.strand <> g.strand, false) as other
+  from r join gene g on r.chrom = g.chrom and r.s < b - 1 + z * 2000 + 1000 and r.e > greatest(b - 1001, 0)),
+met as (select n.bed_id, n.k, count(*) filter (x.s <= n.e and x.e > n.s) as n_met, bool_or(x.s <= n.s + 1 and x.e >= n.e) as held,
+    count(*) filter (n.coding and x.i in (1, 2) and x.s <= n.e and x.e > n.s) as n_cds, coalesce(bool_or(n.coding and x.i in (1, 2) and x.e <= n.s), false) as passed
+  from near n join exon x on x.chrom = n.chrom and x.k = n.k group by 1, 2),
+plain as (select n.*, case when n.s <= gs and n.e >= ge then 'whole_gene' when n.s >= gs and n.e <= ge then
+    case when n_met > 1 then 'multiexons' when n_met = 0 then 'intron' when not held then 'exonintron' when coding and n_cds = 0 then case when passed = (gstrand <> '-') then 'utr3' else 'utr5' end else 'exon' end
+    when case when n.s < gs then gs - n.e else n.s - ge end < 1000 then case when (n.s < gs) = (gstrand <> '-') then 'upstream' else 'downstream' end end as t
+  from near n join met m on m.bed_id = n.bed_id and m.k = n.k),
+typed as (select bed_id, k, case when not other then t when t in ('exon', 'utr3', 'utr5', 'intron', 'upstream', 'downstream') then 'antisense_' || t else 'antisense_complex' end as t from plain where t is not null),
+ranked as (select *, list_position({genes.BED_TYPES}, t) as rank from typed),
+best as (select *, min(rank) over (partition by bed_id) as best from ranked),
+done as (select bed_id, case when count(distinct k) > 1 and any_value(best) <= 10 then 'multigenes' else ({genes.BED_TYPES})[any_value(best)] end as type from best where rank = best or best <= 10 group by 1),
+types as (select r.bed_id, coalesce(type, 'intergenic') as type, r.e - r.s as bases from r left join done d on d.bed_id = r.bed_id)
+"""
 _CLUSTERS = _clusters(_T["GN"])
 _MASKED = """
 wm as (select entry, substr(entry, 1, i - 1) || 'N' || substr(entry, i + 1) as m from (select entry, unnest(range(1, length(entry) + 1)) as i from w)),
@@ -418,6 +436,13 @@ select e.aln_id, coalesce(re, 'I') as re, case when re in ('E', 'S', 'R', 'N', '
 with {_REGIONS}, {_WIDE}, {_cigar("select aln_id, chrom, pos, cigar, case when coalesce(flag, 0) & 16 <> 0 then '-' else '+' end as strand from alignments where coalesce(flag, 0) & 4 = 0 and chrom is not null and pos is not null")},
 hit as (select distinct aln_id, w.name from blocks b join wide w on w.name is not null and b.chrom = w.chrom and b.lo - 1 < w.e and w.s < b.hi and w.strand in ('.', b.strand))
 select aln_id, string_agg(name, ';' order by name) as names from hit group by 1""",
+    "annotate_bed": _BED_TYPES + "select bed_id, type from types",
+    "region_types": _BED_TYPES + "select type, count(*) as n, sum(bases) as bases from types group by 1",
+    "sam_alignments": problems.P2_BASE
+    + """select line_id as aln_id, regexp_extract(qname, '^>?([^|]*)', 1) as qname, nullif(rname, '*') as chrom, nullif(cast(pos as int), 0) as pos,
+  coalesce(substr(list_filter(tags, lambda t: t like 'CB:%')[1], 6), nullif(regexp_extract(qname, '[|]{3}CB:[A-Za-z]:([^|]*)', 1), '')) as cb,
+  coalesce(substr(list_filter(tags, lambda t: t like 'GN:%')[1], 6), nullif(regexp_extract(qname, '[|]{3}GN:[A-Za-z]:([^|]*)', 1), '')) as gn
+from judged where quoted_well and wide and good""",
     "annotate_variants": f"""
 with {_cigar(f"select aln_id, chrom, pos, cigar, seq, {_STRAND} as strand from alignments where coalesce(flag, 0) & 4 = 0 and pos is not null and seq is not null and seq <> '*'")},
 v as (select chrom, pos, min([b, translate(b, 'ACGTN', 'CATGA')]) as alleles from (select chrom, pos + 9 as pos, substr(seq, 10, 1) as b from alignments where chrom is not null and pos is not null and length(seq) >= 10) group by 1, 2),
