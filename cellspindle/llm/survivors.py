@@ -59,12 +59,11 @@ def members(rcd: DataFrame) -> DataFrame:
     return rcd.where(usable).select("chrom", "pos", code(F.col("cb")).alias("cb"), code(F.col("ur")).alias("ur"), "rcd_id", *FIELDS, rank().alias("rank"))
 
 
-def winners(rcd: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """One row per group of two or more: the group columns, n_member, keep_id, and ``won``: field -> (from_id, value)."""
-    value = lambda f: F.struct(F.col("rcd_id").alias("from_id"), F.col(f).cast("string").alias("value"))
-    nobody = F.struct(F.col("rcd_id").alias("from_id"), F.lit(None).cast("string").alias("value"))
+def winners(rcd: DataFrame, fields: Sequence[str] = FIELDS, values: bool = True) -> DataFrame:
+    """One row per group of two or more: the group columns, n_member, keep_id, and ``won``: field -> (from_id[, value])."""
+    own = lambda v: F.struct(F.col("rcd_id").alias("from_id"), *([v.cast("string").alias("value")] if values else []))
     cells = F.array(
-        F.struct(F.lit(WHOLE).alias("field"), nobody.alias("v")), *[F.when(filled(f), F.struct(F.lit(f).alias("field"), value(f).alias("v"))) for f in fields]
+        F.struct(F.lit(WHOLE).alias("field"), own(F.lit(None)).alias("v")), *[F.when(filled(f), F.struct(F.lit(f).alias("field"), own(F.col(f)).alias("v"))) for f in fields]
     )
     long = members(rcd).select(*GROUP, "rank", F.inline(F.array_compact(cells)))
     best = long.groupBy(*GROUP, "field").agg(F.max_by("v", "rank").alias("v"), F.count("*").alias("n"))
@@ -87,7 +86,7 @@ def field_sources(rcd: DataFrame) -> DataFrame:
     set; repeated rows are members each; equal records are parted by the smaller id; empty table: no rows; further
     columns are not looked at.
     """
-    return winners(rcd).select("keep_id", F.explode("won").alias("field", "v")).select("keep_id", "field", "v.from_id")
+    return winners(rcd, values=False).select("keep_id", F.explode("won").alias("field", "v")).select("keep_id", "field", "v.from_id")
 
 
 def survivors(rcd: DataFrame) -> DataFrame:
