@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def sliced(df: DataFrame, key: Column, order: Column, partitions: int | None = None, **extra: Column) -> DataFrame:
-    """(key, ord, extras) range-partitioned by (key, ord); rows whose key is null or empty have no key and are left out."""
-    rows = df.select(key.alias("key"), order.alias("ord"), *[c.alias(n) for n, c in extra.items()]).where("key != ''")
-    by = ("key", "ord")
-    return rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+def sliced(df: DataFrame, key: Column, order: Column, partitions: int | None = None, distinct_order: bool = False) -> DataFrame:
+    """(key, ord[, tie]) range-partitioned by them; rows whose key is null or empty have no key and are left out.
+
+    Rows of one key and order are parted by their place in the input, so that ties too are cut into slices; where the
+    order has no ties (``distinct_order``) that place need not travel.
+    """
+    rows = df.select(key.alias("key"), order.alias("ord"), *([] if distinct_order else [F.monotonically_increasing_id().alias("tie")])).where("key != ''")
+    return rows.repartitionByRange(partitions, *rows.columns) if partitions else rows.repartitionByRange(*rows.columns)
 
 
-def per_key_summary(df: DataFrame, key: Column, order: Column, partitions: int | None = None) -> DataFrame:
+def per_key_summary(df: DataFrame, key: Column, order: Column, partitions: int | None = None, distinct_order: bool = False) -> DataFrame:
     """(key, n_record, first_order, last_order) of every key.
 
     Defined cases: null and empty keys are no keys; null orders count as records and are ignored for first and last;
@@ -29,7 +32,7 @@ def per_key_summary(df: DataFrame, key: Column, order: Column, partitions: int |
     ``df`` do no harm, since only the two expressions are read.
     """
     return (
-        sliced(df, key, order, partitions)
+        sliced(df, key, order, partitions, distinct_order)
         .groupBy("key")
         .agg(F.count("*").alias("n_record"), F.min("ord").alias("first_order"), F.max("ord").alias("last_order"))
     )
@@ -70,4 +73,4 @@ def per_key_runs(df: DataFrame, key: Column, order: Column, step: int, partition
 
 def barcode_counts(alignments: DataFrame) -> DataFrame:
     """(cb, n_record) of each barcode in `tags['CB']`, known to the whitelist or not."""
-    return per_key_summary(alignments, alignments["tags"]["CB"], alignments["aln_id"]).select(F.col("key").alias("cb"), "n_record")
+    return per_key_summary(alignments, alignments["tags"]["CB"], alignments["aln_id"], distinct_order=True).select(F.col("key").alias("cb"), "n_record")
