@@ -57,16 +57,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def write_shared_bytes(spark: SparkSession, data: bytes, name: str) -> str:
-    """Write bytes to the shared folder through Hadoop's file system; returns the URI."""
+    """Write bytes to the shared folder through Hadoop's file system; returns the full URI."""
     jvm = spark.sparkContext._jvm
-    uri = f"{shared_dir(spark)}/cellspindle/{uuid.uuid4().hex}-{name}"
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cellspindle/{uuid.uuid4().hex}-{name}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(path, True)
     try:
         out.write(data)
     finally:
         out.close()
-    return uri
+    return files.makeQualified(path).toString()
 
 
 def ship_package(spark: SparkSession) -> None:
