@@ -102,8 +102,13 @@ def _best_fit(left: dict[int, int], capacity: int) -> Plan:
     return [(dict(Counter(b)), n) for b, n in Counter(tuple(b) for b in bins).items()]
 
 
-def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, step: float = 0.5, rate: float = 3.0, last: int = 200_000) -> Plan:
-    """A plan that places exactly the histogram's items (sizes 1 to ``capacity``)."""
+def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, step: float = 0.5, rate: float = 3.0, last: int = 0) -> Plan:
+    """A plan that places exactly the histogram's items (sizes 1 to ``capacity``).
+
+    A round that places nothing ends the program: it has closed one size or more with each configuration, so with at
+    least as many configurations as sizes the rest has fewer containers' worth of items than there are sizes. Up to
+    ``last`` items are left to best fit before that.
+    """
     left = {s: n for s, n in histogram.items() if n > 0}
     plan: Plan = [({capacity: 1}, left.pop(capacity))] if capacity in left else []
     while sum(left.values()) > last:
@@ -117,7 +122,9 @@ def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
                     left[s] -= k * n
         left = {s: n for s, n in left.items() if n}
         if not placed:
-            break
+            if rounds >= len(left):
+                break
+            rounds = len(left)
     return plan + _best_fit(left, capacity)
 
 

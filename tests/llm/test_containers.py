@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from cellspindle.llm import containers
 from cellspindle.llm.containers import best_configuration, fill_containers, fill_report, plan_containers
 
 
@@ -52,3 +53,29 @@ def test_fill(spark):
 def test_empty(spark):
     out = fill_containers(spark.createDataFrame([], "doc_id long, n_tokens int"))
     assert out.count() == 0 and fill_report(out).first().n_container == 0
+
+
+def test_program_runs_at_every_size(monkeypatch):
+    rest = []
+    best_fit = containers._best_fit
+    monkeypatch.setattr(containers, "_best_fit", lambda left, capacity: rest.append(dict(left)) or best_fit(left, capacity))
+    rng = random.Random(11)
+    histogram = Counter(rng.randrange(200, 701) for _ in range(20_000))
+    plan = plan_containers(histogram)
+    placed = Counter()
+    for config, n in plan:
+        assert sum(s * k for s, k in config.items()) <= 1024
+        for s, k in config.items():
+            placed[s] += k * n
+    assert placed == histogram
+    assert sum(s * n for s, n in rest[0].items()) <= len(histogram) * 1024 and sum(rest[0].values()) < 2_000
+    assert sum(n for _, n in plan) < sum(n for _, n in best_fit(histogram, 1024))
+
+
+def test_rest_is_bounded_when_scarce_sizes_outnumber_the_rounds(monkeypatch):
+    rest = []
+    best_fit = containers._best_fit
+    monkeypatch.setattr(containers, "_best_fit", lambda left, capacity: rest.append(dict(left)) or best_fit(left, capacity))
+    histogram = {s: 1 for s in range(1, 60)} | {900: 5_000}
+    plan_containers(histogram, rounds=5)
+    assert sum(s * n for s, n in rest[0].items()) <= len(histogram) * 1024
