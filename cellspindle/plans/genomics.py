@@ -138,6 +138,7 @@ QUERIES = {
     "umi_correct": lambda s, d: molecules.correct_umis(aln(s, d), ["GN"]).select("aln_id", F.col("tags")["UB"].alias("ub")),
     "umi_one_gene": lambda s, d: molecules.one_gene_per_umi(molecules.umi_clusters(aln(s, d))),
     "fusion_pairs": lambda s, d: molecules.fusion_candidates(aln(s, d).withColumn("tags", F.map_concat(F.map_filter("tags", lambda k, _: k != "UR"), F.create_map(F.lit("UR"), F.substring(tag("UR"), 1, 3)))), most=4),
+    "fusion_molecules": lambda s, d: molecules.fusion_candidates(aln(s, d)),
     "sort_reads": lambda s, d: molecules.sort_reads(aln(s, d), ["CB", "UR"], known(s, d)).select("aln_id"),
     "pick": lambda s, d: filters.pick(aln(s, d), ["CB", "GN"], known(s, d).select("barcode"), 20).select("aln_id"),
     "extract": lambda s, d: filters.extract(aln(s, d), ["CB", "UR", "GN"], with_name=True),
@@ -349,6 +350,11 @@ select aln_id, case when un or (k = 1 and chrom is not null and pos is not null)
 with s as (select distinct {_T["CB"]} as cb, substr({_T["UR"]}, 1, 3) as umi, {_T["GN"]} as g from {_reads(768, 0)}), t as (select * from s where cb is not null and umi is not null and g is not null and g not like '%;%'),
 k as (select cb, umi from t group by 1, 2 having count(*) between 2 and 4), m as (select cb, umi, string_agg(g, ';' order by g) as genes from t join k using (cb, umi) group by 1, 2),
 p as (select a.cb, a.umi, string_agg(a.g || '|' || b.g, ';' order by a.g, b.g) as pairs from t a join t b on a.cb = b.cb and a.umi = b.umi and a.g < b.g join k on k.cb = a.cb and k.umi = a.umi group by 1, 2)
+select m.cb, m.umi, genes, pairs from m join p on m.cb = p.cb and m.umi = p.umi""",
+    "fusion_molecules": f"""
+with s as (select distinct {_T["CB"]} as cb, {_T["UR"]} as umi, {_T["GN"]} as g from {_reads(768, 0)}), t as (select * from s where cb is not null and umi is not null and g is not null and g not like '%;%'),
+k as (select cb, umi from t group by 1, 2 having count(*) between 2 and 3), m as (select cb, umi, string_agg(g, ';' order by g) as genes from t join k using (cb, umi) group by 1, 2),
+p as (select a.cb, a.umi, string_agg(a.g || '|' || b.g, ';' order by a.g, b.g) as pairs from t a join t b on a.cb = b.cb and a.umi = b.umi and a.g < b.g join k on k.cb = a.cb and k.umi = a.umi group by 1, 2)
 select m.cb, m.umi, genes, pairs from m join p on m.cb = p.cb and m.umi = p.umi""",
     "sort_reads": f"select aln_id from alignments where {_T['CB']} in (select barcode from barcodes) and {_T['UR']} is not null",
     "pick": f"select aln_id from {_reads(768, 20)} and {_T['CB']} in (select barcode from barcodes) and {_T['GN']} is not null",
