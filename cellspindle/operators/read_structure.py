@@ -128,5 +128,5 @@ def parse_report(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("status").agg(F.count("*").alias("n"))
 
 
-# The layout of one kit: two cell barcode segments and a UMI on read 1. Its barcode list is the caller's file.
-PRESETS = {"C4": "CR,R1:1-10,cells,CB,1;CR,R1:11-20,cells,CB,1;UR,R1:21-30;R1,R2:1-100"}
+# The layout of one kit: two cell barcode segments and a UMI on read 1, and the whole of read 2. Its barcode list is the caller's file.
+PRESETS = {"C4": "CR,R1:1-10,cells,CB,1;CR,R1:11-20,cells,CB,1;UR,R1:21-30;R1,R2:1-"}
