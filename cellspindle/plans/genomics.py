@@ -81,6 +81,12 @@ def raw_reads(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "read1").select("name", F.col("seq").alias("r1_seq"), F.col("qual").alias("r1_qual"))
 
 
+def barcoded_reads(s: SparkSession, d: str) -> DataFrame:
+    """Raw reads rebuilt from the alignments: the cell barcode as it was read, if any, in front of the sequence."""
+    cb = F.coalesce(tag("CB"), F.lit(""))
+    return aln(s, d).select(F.col("qname").alias("name"), F.concat(cb, "seq").alias("r1_seq"), F.concat(F.repeat(F.lit("F"), F.length(cb)), "qual").alias("r1_qual"))
+
+
 def bed_types(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "bed").where("chrom is not null and bed_start >= 0 and bed_end > bed_start")
     return genes.annotate_bed(r.select("bed_id", "chrom", F.col("bed_start").alias("start"), F.col("bed_end").alias("end"), "strand"), models(s, d), key="bed_id")
@@ -152,6 +158,7 @@ QUERIES = {
     "parse_listed": lambda s, d: read_structure.apply_segments(
         raw_reads(s, d), read_structure.parse_rules("CR,R1:1-5,cells,CB,1;R1,R1:6-30"), lambda n: known(s, d).select(F.substring("barcode", 1, 5).alias("b"))
     ),
+    "parse_barcodes": lambda s, d: read_structure.apply_segments(barcoded_reads(s, d), read_structure.parse_rules("CR,R1:1-20,cells,CB,1;R1,R1:21-"), lambda n: known(s, d).select("barcode")),
     "whitelist_exact": lambda s, d: whitelist.exact(cell_values(s, d).distinct(), known(s, d)),
     "whitelist_mismatch": lambda s, d: whitelist.one_mismatch(cell_values(s, d), known(s, d)),
     "whitelist_edit": lambda s, d: whitelist.edit_distance(cell_values(s, d), known(s, d), 2, "levenshtein"),
@@ -380,6 +387,11 @@ select id || case when substr(seq, 1, 16) <> '' then '|||CR:Z:' || substr(seq, 1
 with w as (select distinct substr(barcode, 1, 5) as entry from barcodes), r as (select regexp_extract(name, '^[@>]?([^|]*)', 1) as id, seq, qual, substr(seq, 1, 5) as query from read1),
 q as (select distinct query from r where query is not null), {_MASKED}
 select id || '|||CR:Z:' || query || '|||CB:Z:' || entry as name, substr(seq, 6, 25) as seq, substr(qual, 6, 25) as qual, case when exact then 'exact' else 'corrected' end as status from r join near using (query)""",
+    "parse_barcodes": f"""
+with w as ({_KNOWN}), raw as (select regexp_extract(qname, '^[@>]?([^|]*)', 1) as id, coalesce({_T["CB"]}, '') as cb, seq, qual from alignments),
+r as (select id, cb || seq as seq, repeat('F', length(cb)) || qual as qual, substr(cb || seq, 1, 20) as query from raw),
+q as (select distinct query from r where query is not null), {_MASKED}
+select id || '|||CR:Z:' || query || '|||CB:Z:' || entry as name, substr(seq, 21) as seq, substr(qual, 21) as qual, case when exact then 'exact' else 'corrected' end as status from r join near using (query)""",
     "whitelist_exact": f"select distinct {_T['CB']} as query from alignments where {_T['CB']} in (select barcode from barcodes)",
     "whitelist_mismatch": f"""
 with w as ({_KNOWN}), q as (select distinct {_T["CB"]} as query from alignments where {_T["CB"]} is not null),

@@ -20,3 +20,10 @@ def test_fusion_molecules(spark, con):
     found = catalog.QUERIES["fusion_molecules"](spark, SF).cache()
     assert found.count() == 101 and found.where("length(umi) < 10").count() == 0
     assert differences(found, catalog.SQL["fusion_molecules"], con) == ""
+
+
+def test_parse_barcodes(spark, con):
+    found = catalog.QUERIES["parse_barcodes"](spark, SF).cache()
+    assert found.where("status = 'corrected'").count() > 0 and found.where("length(seq) > 25").count() > 0
+    assert found.where("name not rlike 'CB:Z:[ACGT]{20}$'").count() == 0
+    assert differences(found, catalog.SQL["parse_barcodes"], con) == ""
