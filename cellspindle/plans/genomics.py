@@ -178,6 +178,7 @@ QUERIES = {
     "depth_cells": lambda s, d: coverage.depth(aln(s, d), cell=tag("CB"), umi=tag("UR"), stranded=False, groups=known(s, d)),
     "covered_bases": lambda s, d: coverage.covered_bases(aln(s, d)),
     "peaks": lambda s, d: coverage.call_peaks(aln(s, d), cutoff=0, gap=50, min_length=70).drop("name"),
+    "peaks_deep": lambda s, d: coverage.call_peaks(aln(s, d)).drop("name"),
     "gene_regions": lambda s, d: genes.to_regions(models(s, d), "gene"),
     "exon_regions": lambda s, d: genes.to_regions(models(s, d), "exon", "transcript"),
     "gene_summary": lambda s, d: genes.summary(models(s, d)),
@@ -421,6 +422,8 @@ select p.chrom, p.s as start, p.e as "end", barcode, count(*) as n from frags f
 once as (select chrom, strand, cell, s, e from ({_islands("grouped", "chrom, strand, cell, umi")})) {_levels("once", "chrom, strand, cell")}""",
     "covered_bases": f"with {_cigar(_DEPTH)}, own as (select chrom, cb as cell, s, e from covered where cb is not null) select cell, sum(e - s) as n from ({_islands('own', 'chrom, cell')}) group by 1",
     "peaks": f"with {_cigar(_DEPTH)} select chrom, s as start, e as \"end\", strand from ({_islands('covered', 'chrom, strand', 50)}) where e - s >= 70",
+    "peaks_deep": f"""with {_cigar(_DEPTH)}, runs as ({_levels("covered", "chrom, strand")}), deep as (select chrom, strand, lo as s, hi as e from runs where level > 10)
+select chrom, s as start, e as "end", strand from ({_islands("deep", "chrom, strand", 50)}) where e - s >= 50""",
     "gene_regions": f"with {_PART} select distinct chrom, b - 1 as start, b + z * 2000 - 1 as \"end\", 'N' || k as name, strand from gene",
     "exon_regions": f"with {_PART} select distinct chrom, s - 1 as start, e as \"end\", 'T' || k as name, strand from exon",
     "gene_summary": f"""with {_PART}, gb as (select chrom, b - 1 as s, b + z * 2000 - 1 as e from gene), eb as (select chrom, s - 1 as s, e from exon)

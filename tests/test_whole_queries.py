@@ -27,3 +27,9 @@ def test_parse_barcodes(spark, con):
     assert found.where("status = 'corrected'").count() > 0 and found.where("length(seq) > 25").count() > 0
     assert found.where("name not rlike 'CB:Z:[ACGT]{20}$'").count() == 0
     assert differences(found, catalog.SQL["parse_barcodes"], con) == ""
+
+
+def test_peaks_deep(spark, con):
+    found = catalog.QUERIES["peaks_deep"](spark, SF).cache()
+    assert 0 < found.count() < catalog.QUERIES["peaks"](spark, SF).count()
+    assert differences(found, catalog.SQL["peaks_deep"], con) == ""
