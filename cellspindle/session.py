@@ -26,13 +26,29 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small input over all cores, where it has fewer files than there are cores.
+
+    Work in Python is bound to the splits of the input otherwise. An input of more than a split a core stays as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    small = int(plan.stats().sizeInBytes()) < cores * split
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in tests on one machine, a temporary folder is set for the session.
+    Where the setting is absent, a temporary folder is set for a session on one machine, as in tests; on a cluster, whose
+    executors would each write to their own disk, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="cellspindle-")
         spark.sparkContext.setCheckpointDir(named)
         atexit.register(_delete_local, named[7:])
@@ -51,15 +67,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read of files, not a recomputation, and readers can prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cellspindle/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the application ends."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cellspindle-{spark.sparkContext.applicationId}")
+    if str(path) not in _run_dirs:
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _run_dirs.add(str(path))
+    return str(path)
+
+
+_run_dirs: set[str] = set()
+
+
 def write_shared_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     """Write bytes to the shared folder through Hadoop's file system; returns the full URI."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cellspindle/{uuid.uuid4().hex}-{name}")
+    path = jvm.org.apache.hadoop.fs.Path(f"{_run_dir(spark)}/{uuid.uuid4().hex}-{name}")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = files.create(path, True)
     try:
