@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from cellspindle.llm import containers, pii, spans, surrogates, survivors, tokens
+from secrets import token_bytes
+
+from cellspindle.llm import containers, spans, surrogates, survivors, tokens
 from cellspindle.session import table
 
 QUERIES = {
@@ -12,8 +14,8 @@ QUERIES = {
     "p5_survivors": lambda s, d: survivors.survivors(table(s, d, "rcd")),
     "p6_ids": lambda s, d: _encoded(table(s, d, "documents")),
     "p7_containers": lambda s, d: _packed(table(s, d, "documents")),
-    "p8_found": lambda s, d: _found(table(s, d, "documents"), table(s, d, "name_list")),
-    "p8_texts": lambda s, d: _replaced(table(s, d, "documents"), table(s, d, "name_list")),
+    "p8_found": lambda s, d: surrogates.found_spans(_replaced(table(s, d, "documents"), table(s, d, "name_list"))),
+    "p8_texts": lambda s, d: _replaced(table(s, d, "documents"), table(s, d, "name_list")).drop("spans"),
     "p7_report": lambda s, d: containers.fill_report(_packed(table(s, d, "documents"))),
 }
 
@@ -22,12 +24,10 @@ def _encoded(docs):
     return tokens.encode_corpus(docs, docs["doc_id"], docs["text"])
 
 
-def _found(docs, names):
-    return pii.find_personal(docs, docs["doc_id"], docs["text"], names)
-
-
 def _replaced(docs, names):
-    return surrogates.replace_personal(docs, docs["doc_id"], docs["text"], names)
+    """The secret is the setting spark.cellspindle.surrogateKey; without one, replacements hold for one run only."""
+    given = docs.sparkSession.conf.get("spark.cellspindle.surrogateKey", None)
+    return surrogates.replace_personal(docs, docs["doc_id"], docs["text"], names, given.encode() if given else token_bytes(32))
 
 
 def _packed(docs):
