@@ -1,6 +1,6 @@
 import datetime
 
-from cellspindle.llm.survivors import field_sources, survivors
+from cellspindle.llm.survivors import field_sources, survivors, voted_values
 
 SCHEMA = "rcd_id long, flag int, chrom string, pos int, mapq int, cigar string, cb string, ur string, gn string, re string, sp string, qual int, dup int, checked int, seen_at timestamp, field string, v int, won int"
 T = datetime.datetime
@@ -54,3 +54,23 @@ def test_ties_nulls_and_empty(spark):
 def test_hot_group(spark):
     df = rows(spark, *[{"qual": i % 97, "gn": f"g{i}" if i == 50 else None, "checked": 0} for i in range(3000)])
     assert {tuple(r) for r in field_sources(df).collect()} == {(97, "gn", 51)}
+
+
+def test_votes(spark):
+    """Two weaker votes for one spelling outvote a stronger one; checked records count more, old ones less."""
+    now, old = T(2024, 6, 1), T(2023, 1, 1)
+    df = rows(
+        spark,
+        {"qual": 30, "gn": "A", "re": "E", "seen_at": now, "sp": "NA"},
+        {"qual": 20, "gn": " b", "re": "N", "seen_at": now, "checked": 1},
+        {"qual": 20, "gn": "B ", "re": "E", "seen_at": now},
+        {"qual": 90, "gn": "C", "re": "E", "seen_at": old},
+        {"pos": 2, "gn": "D"},
+        {"pos": 3, "gn": "y"},
+        {"pos": 3, "gn": "x"},
+        {"pos": 4},
+        {"pos": 4},
+    )
+    got = {r.pos: (r.n_member, r.gn, r["re"], r.sp, r.mapq) for r in voted_values(df).collect()}
+    assert got == {1: (4, "B", "N", None, None), 3: (2, "X", None, None, None), 4: (2, None, None, None, None)}
+    assert voted_values(df.limit(0)).count() == 0
