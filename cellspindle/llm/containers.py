@@ -145,7 +145,7 @@ def _addresses(plan: Plan) -> tuple[dict[int, int], np.ndarray, int]:
     return first, np.array(rows, np.int64).reshape(-1, 3), containers
 
 
-def fill_containers(sizes: DataFrame, capacity: int = CAPACITY, slice_rows: int = 200_000, most_slices: int = 4096) -> DataFrame:
+def fill_containers(sizes: DataFrame, capacity: int = CAPACITY, slice_rows: int = 200_000) -> DataFrame:
     """(doc_id, piece, size, container) of a table (doc_id, n_tokens).
 
     An item above the capacity is cut into full pieces and a rest; every other item is one piece. Defined cases: items
@@ -161,7 +161,7 @@ def fill_containers(sizes: DataFrame, capacity: int = CAPACITY, slice_rows: int
     items = pieces.where("size > 0")
     histogram = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     first, segments, _ = _addresses(plan_containers(histogram, capacity))
-    slices = min(most_slices, max(1, sum(histogram.values()) // slice_rows))
+    slices = max(1, sum(histogram.values()) // slice_rows)
     salted = items.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
     before = Window.partitionBy("size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("size", "slice").agg(F.count("*").alias("n")).select("size", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -188,9 +188,34 @@ def fill_containers(sizes: DataFrame, capacity: int = CAPACITY, slice_rows: int
     return placed.unionByName(pieces.where("size = 0").withColumn("container", F.lit(None).cast("bigint")))
 
 
+def measured_and_packed(df: DataFrame, doc_id: Column, text: Column, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes in tokens, and their containers."""
+    sizes = materialize(token_sizes(df, doc_id, text, tokenizer), "token-sizes")
+    return sizes, fill_containers(sizes, capacity)
+
+
 def pack_documents(df: DataFrame, doc_id: Column, text: Column, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """Containers of the documents' texts, measured in tokens."""
-    return fill_containers(materialize(token_sizes(df, doc_id, text, tokenizer), "token-sizes"), capacity)
+    return measured_and_packed(df, doc_id, text, capacity, tokenizer)[1]
+
+
+def plan_checks(sizes: DataFrame, placed: DataFrame, capacity: int = CAPACITY, slack: float = 0.01) -> DataFrame:
+    """One row that tells whether a packing keeps its promises; ids must be unique.
+
+    n_document and n_empty (those that take no space) count the input through the packing; n_split counts documents of
+    ``capacity`` or less in several pieces, n_overfull containers above it, n_number_missing unused container numbers,
+    n_token_lost tokens that are in no container; near_least: no more containers than one plus ``slack`` above the bound.
+    """
+    rows = materialize(placed, "placed")
+    per_doc = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    docs = per_doc.agg(F.count("*").alias("n_document"), F.count_if(F.col("size") == 0).alias("n_empty"), F.count_if((F.col("n") > 1) & (F.col("size") <= capacity)).alias("n_split"), F.coalesce(F.sum("size"), F.lit(0)).alias("placed"))
+    filled = rows.where("container is not null").groupBy("container").agg(F.sum("size").alias("size"))
+    bins = filled.agg(F.count_if(F.col("size") > capacity).alias("n_overfull"), F.count("*").alias("bins"), (F.coalesce(F.max("container") + 1, F.lit(0)) - F.count("*")).alias("n_number_missing"))
+    wanted = sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("wanted"))
+    least = F.ceil(F.col("wanted") / capacity)
+    return docs.crossJoin(bins).crossJoin(wanted).select(  # one row each
+        "n_document", "n_empty", F.col("n_split").cast("int"), F.col("n_overfull").cast("int"), F.col("n_number_missing").cast("int"), (F.col("wanted") - F.col("placed")).cast("int").alias("n_token_lost"), (F.col("bins") <= least * (1 + slack) + 1).alias("near_least")
+    )
 
 
 def fill_report(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from cellspindle.llm import containers
-from cellspindle.llm.containers import best_configuration, fill_containers, fill_report, plan_containers
+from cellspindle.llm.containers import best_configuration, fill_containers, fill_report, plan_containers, plan_checks
 
 
 def test_knapsack():
@@ -79,3 +79,12 @@ def test_rest_is_bounded_when_scarce_sizes_outnumber_the_rounds(monkeypatch):
     histogram = {s: 1 for s in range(1, 60)} | {900: 5_000}
     plan_containers(histogram, rounds=5)
     assert sum(s * n for s, n in rest[0].items()) <= len(histogram) * 1024
+
+
+def test_checks_see_faults(spark):
+    sizes = spark.createDataFrame([(1, 6), (2, 4), (3, 25), (4, 0), (5, None)], "doc_id long, n_tokens int")
+    row = plan_checks(sizes, fill_containers(sizes, 10), 10).first()
+    assert tuple(row) == (5, 2, 0, 0, 0, 0, True)
+    bad = spark.createDataFrame([(1, 0, 3, 0), (1, 1, 3, 1), (2, 0, 4, 4), (3, 0, 25, 1), (4, 0, 0, None), (5, 0, 0, None)], "doc_id long, piece int, size int, container long")
+    assert tuple(plan_checks(sizes, bad, 10).first()) == (5, 2, 1, 1, 2, 0, True)
+    assert tuple(plan_checks(sizes.limit(0), bad.limit(0), 10).first()) == (0, 0, 0, 0, 0, 0, True)
