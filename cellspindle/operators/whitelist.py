@@ -1,6 +1,6 @@
 """Error-tolerant whitelist lookups.
 
-All lookups are equi-joins on derived keys (the string itself, its one-position masks, or its shared 5-mers), so they
+All lookups are equi-joins on derived keys (the string itself, its one-position masks, or the pieces it is cut into), so they
 scale with both sides; the planner broadcasts a whitelist only where its measured size allows it.
 """
 
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from cellspindle.functions import seq
 
-KMER = 5
-
 
 def distinct_list(listed: DataFrame) -> DataFrame:
     """(entry) of the list's first column, without nulls, blanks and repeats."""
@@ -44,18 +42,24 @@ def one_mismatch(values: DataFrame, listed: DataFrame) -> DataFrame:
 def edit_distance(values: DataFrame, listed: DataFrame, most: int = 1, method: str = "hamming") -> DataFrame:
     """(query, entry, distance) of the values with exactly one list entry within ``most`` edits.
 
-    Candidates share a 5-mer, as two strings of L letters within e edits must where L >= 5 * (e + 1) + e; shorter ones may
-    be missed, which is part of the definition. ``method``: `hamming`, `levenshtein`, or `both` (hamming, then
-    levenshtein where hamming found nothing).
+    Exact at every length: an entry is cut into ``most + 1`` pieces, of which one at least is untouched by ``most`` edits,
+    so that the value holds it at its place, or with insertions and deletions up to ``most`` places beside it. Values
+    and entries are joined on (length of the entry, number of the piece, its text). ``method``: `hamming`, `levenshtein`,
+    or `both` (hamming, then levenshtein where hamming found nothing).
     """
     if method == "both":
         first = edit_distance(values, listed, most, "hamming")
         rest = values.select(F.col(values.columns[0]).alias("query")).join(first, "query", "left_anti")
         return first.unionByName(edit_distance(rest, listed, most, "levenshtein"))
-    kmers = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (KMER - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(KMER))))
-    entries = distinct_list(listed).select("entry", F.explode(kmers(F.col("entry"))).alias("k"))
-    asked = values.select(F.col(values.columns[0]).alias("query")).where("query != ''").distinct().select("query", F.explode(kmers(F.col("query"))).alias("k"))
-    pairs = asked.join(entries, "k").select("query", "entry").distinct()
+    shift = 0 if method == "hamming" else most
+    begin = lambda i: F.floor(i * F.col("size") / (most + 1)).cast("int")
+    piece = lambda c, i, d: F.struct(F.lit(i).alias("i"), F.substring(c, begin(i) + d + 1, begin(i + 1) - begin(i)).alias("text"))
+    entries = distinct_list(listed).withColumn("size", F.length("entry"))
+    cut = entries.select("entry", "size", F.inline(F.array(*[piece(F.col("entry"), i, 0) for i in range(most + 1)])))
+    asked = values.select(F.col(values.columns[0]).alias("query")).where("query != ''").distinct()
+    sized = asked.select("query", F.explode(F.sequence(F.length("query") - shift, F.length("query") + shift)).alias("size")).join(entries.select("size").distinct(), "size", "left_semi")
+    places = F.array_distinct(F.array(*[F.when(begin(i) + d >= 0, piece(F.col("query"), i, d)) for i in range(most + 1) for d in range(-shift, shift + 1)]))
+    pairs = sized.select("query", "size", F.inline(F.array_compact(places))).join(cut, ["size", "i", "text"]).select("query", "entry").distinct()
     distance = seq.hamming(F.col("query"), F.col("entry")) if method == "hamming" else F.levenshtein("query", "entry")
     near = pairs.withColumn("distance", distance).where(F.col("distance") <= most)
     return near.groupBy("query").agg(F.min("entry").alias("entry"), F.min("distance").alias("distance"), F.count("*").alias("n")).where("n = 1").drop("n")

@@ -162,6 +162,7 @@ QUERIES = {
     "whitelist_exact": lambda s, d: whitelist.exact(cell_values(s, d).distinct(), known(s, d)),
     "whitelist_mismatch": lambda s, d: whitelist.one_mismatch(cell_values(s, d), known(s, d)),
     "whitelist_edit": lambda s, d: whitelist.edit_distance(cell_values(s, d), known(s, d), 2, "levenshtein"),
+    "whitelist_edit_short": lambda s, d: whitelist.edit_distance(cell_values(s, d).select(F.substring("query", 1, 10).alias("query")), known(s, d).select(F.substring("barcode", 1, 10).alias("b")), 1, "levenshtein"),
     "bed_merge": lambda s, d: intervals.merge(regions(s, d)).select("chrom", "start", "end", "strand"),
     "bed_merge_gap": lambda s, d: intervals.merge(regions(s, d), stranded=False, gap=500, min_length=300).select("chrom", "start", "end", "strand"),
     "bed_merge_name": lambda s, d: intervals.merge(regions(s, d), by_name=True),
@@ -400,6 +401,10 @@ with w as ({_KNOWN}), q as (select distinct {_T["CB"]} as query from alignments
     "whitelist_edit": f"""
 with w as ({_KNOWN}), q as (select distinct {_T["CB"]} as query from alignments where {_T["CB"]} is not null),
 p as (select query, entry, levenshtein(query, entry) as distance from q, w where levenshtein(query, entry) <= 2)
+select query, min(entry) as entry, min(distance) as distance from p group by 1 having count(*) = 1""",
+    "whitelist_edit_short": f"""
+with w as (select distinct substr(barcode, 1, 10) as entry from barcodes where barcode <> ''), q as (select distinct substr({_T["CB"]}, 1, 10) as query from alignments where {_T["CB"]} is not null),
+p as (select query, entry, levenshtein(query, entry) as distance from q, w where levenshtein(query, entry) <= 1)
 select query, min(entry) as entry, min(distance) as distance from p group by 1 having count(*) = 1""",
     "bed_merge": f"with {_REGIONS} select chrom, s as start, e as \"end\", strand from ({_islands('regions', 'chrom, strand')})",
     "bed_merge_gap": f"with {_REGIONS} select chrom, s as start, e as \"end\", '.' as strand from ({_islands('regions', 'chrom', 500)}) where e - s >= 300",

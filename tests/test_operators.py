@@ -152,3 +152,35 @@ def test_filters(spark):
     assert filters.names_to_tags(aln(spark, {"qname": "r|||CB:Z:A"})).select("qname", "tags").first() == ("r", {"CB": "A"})
     turned = filters.to_reads(aln(spark, {"flag": 16, "seq": "AACG", "qual": "ABCD"})).first()
     assert (turned.seq, turned.qual) == ("CGTT", "DCBA")
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_finds_all(spark):
+    """Every length, short ones and single letters too, against brute force."""
+    import random
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    entries = sorted({word(n) for n in (1, 2, 8, 8, 10, 10, 16, 20, 20) for _ in range(4)})
+
+    def worn(w, e):
+        for _ in range(e):
+            i = r.randrange(len(w) + 1)
+            w = r.choice([w[:i] + r.choice("ACGT") + w[i:], w[:i] + w[i + 1 :], w[:i] + r.choice("ACGT") + w[i + 1 :]])
+        return w
+
+    queries = sorted({worn(w, e) for w in entries for e in (0, 1, 2, 2, 3)} - {""})
+    asked, listed = (spark.createDataFrame([(x,) for x in xs], "v string") for xs in (queries, entries))
+    for most in (1, 2):
+        for method, distance in (("levenshtein", _edits), ("hamming", lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) if len(a) == len(b) else 99)):
+            near = {q: [w for w in entries if distance(q, w) <= most] for q in queries}
+            want = {(q, ws[0], distance(q, ws[0])) for q, ws in near.items() if len(ws) == 1}
+            assert {tuple(x) for x in whitelist.edit_distance(asked, listed, most, method).collect()} == want
