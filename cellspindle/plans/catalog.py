@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellspindle.plans import genomics, problems
+from cellspindle.plans import files, genomics, problems
 
-QUERIES = problems.QUERIES | genomics.QUERIES
-SQL = problems.SQL | genomics.SQL
+QUERIES = problems.QUERIES | genomics.QUERIES | files.QUERIES
+SQL = problems.SQL | genomics.SQL | files.SQL

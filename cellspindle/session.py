@@ -85,6 +85,18 @@ def _run_dir(spark: SparkSession) -> str:
 _run_dirs: set[str] = set()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path of this application in the shared folder."""
+    return f"{_run_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def folder_files(spark: SparkSession, folder: str) -> list[str]:
+    """The data files of a folder, by name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().toString() for f in found if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+
+
 def write_shared_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     """Write bytes to the shared folder through Hadoop's file system; returns the full URI."""
     jvm = spark.sparkContext._jvm

@@ -1,9 +1,11 @@
-"""Sources that are no lines: FASTQ/FASTA records and BAM files, read in a stream by one task per file."""
+"""Sources that are no lines: FASTQ/FASTA records and BAM files, read in a stream by one task per file; BAM files are written too."""
 
 from __future__ import annotations
 
 import gzip
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -12,6 +14,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH = 20_000
+INTEGER = re.compile(r"0|-?[1-9][0-9]{0,8}")
+CIGAR = re.compile(r"([0-9]+)([MIDNSHPX=])")
 
 
 def _open(path: str):
@@ -118,10 +122,10 @@ class _Blocks:
     """Decompressed bytes of a BGZF file, block after block."""
 
     def __init__(self, stream):
-        self.stream, self.left = stream, b""
+        self.stream, self.left, self.at = stream, b"", 0
 
     def read(self, n: int) -> bytes:
-        while len(self.left) < n:
+        while len(self.left) - self.at < n:
             head = self.stream.read(18)
             if len(head) < 18:
                 break
@@ -130,8 +134,9 @@ class _Blocks:
             if extra != 6 or head[12:14] != b"BC":
                 raise ValueError("not a block-compressed file")
             body = self.stream.read(size - 18)
-            self.left += zlib.decompress(body[:-8], -15)
-        out, self.left = self.left[:n], self.left[n:]
+            self.left, self.at = self.left[self.at :] + zlib.decompress(body[:-8], -15), 0
+        out = self.left[self.at : self.at + n]
+        self.at += len(out)
         return out
 
     def integer(self) -> int | None:
@@ -213,3 +218,104 @@ def _alignments(blocks: _Blocks) -> Iterator[tuple]:
         cigar = "".join(f"{o >> 4}{'MIDNSHP=X'[o & 15]}" for o in ops) or None
         mate = "*" if mtid < 0 else "=" if mtid == tid else contigs[mtid]
         yield qname, flag, contigs[tid] if tid >= 0 else None, pos + 1 if pos >= 0 else None, mapq, cigar, mate, mpos + 1, tlen, seq, qual, _tags(d[at:])
+
+
+BASES = "=ACMGRSVTWYHKDBN"
+OPS = "MIDNSHP=X"
+BLOCK = 0xFF00  # bytes of text in a block
+
+
+def _packed(block: bytes) -> bytes:
+    """One block of a BGZF file; the empty one ends the file."""
+    c = zlib.compressobj(2, zlib.DEFLATED, -15)
+    body = c.compress(block) + c.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0"
+    return head + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(block), len(block))
+
+
+def _encoded_tags(tags) -> bytes:
+    out = b""
+    for key, value in sorted(tags or ()):
+        if value is None or len(key) != 2:
+            continue
+        if INTEGER.fullmatch(value):
+            out += key.encode() + b"i" + struct.pack("<i", int(value))
+        else:
+            out += key.encode() + b"Z" + value.encode() + b"\0"
+    return out
+
+
+def _bin(lo: int, hi: int) -> int:
+    """Number of the smallest bin that holds [lo, hi): five levels, each of bins an eighth as wide as those above."""
+    hi -= 1
+    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+        if lo >> shift == hi >> shift:
+            return first + (lo >> shift)
+    return 0
+
+
+def _record(row: dict, numbers: dict[str, int]) -> bytes:
+    name = (row["qname"] or "*").encode()[:254] + b"\0"
+    ops = [(int(n), OPS.index(o)) for n, o in CIGAR.findall(row["cigar"] or "")]
+    seq = row["seq"] if row["seq"] and row["seq"] != "*" else ""
+    digits = [max(BASES.find(c), 0) if c == "=" else BASES.find(c) if c in BASES else 15 for c in seq.upper()] + [0] * (len(seq) & 1)
+    qual = row["qual"] or "*"
+    quals = bytes(ord(c) - 33 for c in qual) if len(qual) == len(seq) and qual != "*" else b"\xff" * len(seq)
+    tid = numbers.get(row["chrom"], -1)
+    pos = (row["pos"] or 0) - 1
+    span = sum(n for n, o in ops if OPS[o] in "MDN=X") or 1
+    mate = tid if row["rnext"] == "=" else numbers.get(row["rnext"], -1)
+    mapq = 255 if row["mapq"] is None else row["mapq"]
+    core = (tid, pos, len(name), mapq, _bin(pos, pos + span) if pos >= 0 else 4680, len(ops), row["flag"] or 0, len(seq), mate, (row["pnext"] or 0) - 1, row["tlen"] or 0)
+    body = struct.pack("<iiBBHHHIiii", *core) + name + struct.pack(f"<{len(ops)}I", *(n << 4 | o for n, o in ops))
+    body += bytes(a << 4 | b for a, b in zip(digits[::2], digits[1::2], strict=True)) + quals + _encoded_tags(row["tags"])
+    return struct.pack("<i", len(body)) + body
+
+
+def write_bam(df: DataFrame, folder: str, contigs: DataFrame, most: int = 1_000_000) -> None:
+    """A folder of BAM files, one for each partition, all with the same header; columns as in ``bam``.
+
+    ``contigs`` (chrom, length) is the header, at most ``most`` rows; reads on other contigs are written as unplaced.
+    Integer tags are typed i, others Z; letters that are no base become N; a quality of another length than the sequence
+    is left out. Every task writes a file of its own name, and only those of tasks that counted are moved into place,
+    so that tasks run twice leave nothing behind.
+    """
+    spark = df.sparkSession
+    known = contigs.orderBy("chrom").limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} contigs")
+    numbers = {r.chrom: i for i, r in enumerate(known)}
+    text = "@HD\tVN:1.6\tSO:unknown\n" + "".join(f"@SQ\tSN:{r.chrom}\tLN:{r.length}\n" for r in known)
+    head = b"BAM\1" + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(known))
+    for r in known:
+        head += struct.pack("<i", len(r.chrom.encode()) + 1) + r.chrom.encode() + b"\0" + struct.pack("<i", r.length)
+    header = spark.sparkContext.broadcast((head, numbers))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    target = files.makeQualified(path).toString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, ids = header.value
+        name = f"_writing-{uuid.uuid4().hex}"
+        where, base = fs.FileSystem.from_uri(target)
+        with where.open_output_stream(f"{base}/{name}") as out:
+            held = first
+            for batch in batches:
+                for row in batch.to_pylist():
+                    held += _record(row, ids)
+                    while len(held) >= BLOCK:
+                        out.write(_packed(held[:BLOCK]))
+                        held = held[BLOCK:]
+            if held:
+                out.write(_packed(held))
+            out.write(_packed(b""))
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
+
+    columns = ALIGNMENT.split(", ")[2:]
+    done = df.select(*[c.split()[0] for c in columns]).mapInArrow(rows, "file string").collect()  # one row a partition
+    for i, r in enumerate(sorted(x.file for x in done)):
+        files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{r}"), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/part-{i:05d}.bam"))
+    for f in files.listStatus(path):
+        if f.getPath().getName().startswith("_writing-"):
+            files.delete(f.getPath(), False)
