@@ -17,10 +17,11 @@ from cellspindle.operators.filters import tag
 # Feature names that are read, and region types by priority.
 FEATURES = ("gene", "transcript", "exon", "CDS", "UTR", "start_codon", "stop_codon", "five_prime_utr", "three_prime_utr", "5UTR", "3UTR", "inter", "inter_CNS", "intron_CNS")
 READ_TYPES = ("S", "E", "C", "R", "N", "X", "A", "B", "V", "U")
-BED_TYPES = (
-    "unknown promoter utr3 utr5 exon multiexons exonintron whole_gene multigenes intron antisense_utr3 antisense_utr5 antisense_exon antisense_intron "
-    "antisense_complex flank upstream downstream antisense_upstream antisense_downstream intergenic unknown_chromosome"
-).split()
+BED_TYPES = [
+    "unknown", "promoter", "utr3", "utr5", "exon", "multiexons", "exonintron", "whole_gene", "multigenes", "intron", "antisense_utr3",
+    "antisense_utr5", "antisense_exon", "antisense_intron", "antisense_complex", "flank", "upstream", "downstream", "antisense_upstream",
+    "antisense_downstream", "intergenic", "unknown_chromosome",
+]
 
 
 def genes(features: DataFrame) -> DataFrame:
@@ -157,14 +158,16 @@ def annotate_reads(
     introns: bool = False,
     splices: bool = False,
     antisense: bool = False,
+    psi: bool = False,
 ) -> DataFrame:
     """(key, re, gn, gx, tx, at, ex, jc, er, tss) of every mapped read; lists are sorted arrays, null where there is none.
 
     A gene counts if it contains the whole read, within ``vague`` bases. A gene's type is that of its best transcript, a
     read's that of its best gene; without any it is intergenic, I. Genes are given where their type is the read's, for
     introns only with ``introns``, for exon-intron reads only with ``splices`` or ``introns``, never for ambiguous reads.
-    ``antisense`` gives the genes of the other strand in `at`. `ex` holds exons of exonic reads, `jc` junctions, `er`
-    exons inside a junction's gap, `tss` the genes whose transcript begins at the read's 5' end.
+    ``antisense`` gives the genes of the other strand in `at`. `ex` holds exons of exonic reads, `jc` junctions, `tss` the
+    genes whose transcript begins at the read's 5' end. With ``psi`` a transcript of which a junction leaves out exons
+    has the type X, and `er` holds those exons where another transcript of the gene explains the read.
     """
     rows = df.where(~flags.has(flags.UNMAPPED) & F.col("chrom").isNotNull() & F.col("pos").isNotNull() & (F.size(cigar.blocks(F.col("pos"), F.col("cigar"))) > 0))
     strand = flags.read_strand()
@@ -177,23 +180,24 @@ def annotate_reads(
     hits = intervals.overlap_join(reads, model, ("chrom", "from", "hi"), ("gc", "g0", "g1")).where("g0 < lo and hi <= g1")
     other = F.lit(False) if ignore_strand else F.col("strand") != F.col("gstrand")
     plain = transcript_type(F.col("blocks"), F.col("exons"))
-    typed = hits.withColumn("p", plain).withColumn("t", F.when(~other, F.col("p")).when(F.col("p").isin("N", "C"), "B").when(F.col("p") == "U", "U").otherwise("A"))
+    gaps = F.transform(F.slice("blocks", F.lit(2), F.greatest(F.size("blocks") - 1, F.lit(0))), lambda b, i: F.struct(F.get("blocks", i)["hi"].alias("from"), b["lo"].alias("to")))
+    skipped = F.filter("exons", lambda e: F.exists(gaps, lambda x: (e["start"] > x["from"]) & (e["end"] < x["to"])))
+    left_out = F.lit(psi) & (F.size(skipped) > 0)
+    typed = hits.withColumn("p", plain).withColumn("t", F.when(~other, F.when(left_out, "X").otherwise(F.col("p"))).when(F.col("p").isin("N", "C"), "B").when(F.col("p") == "U", "U").otherwise("A"))
     rank = F.array_position(F.array(*map(F.lit, READ_TYPES)), F.col("t"))
     five = F.when(F.col("strand") == "+", F.col("lo")).otherwise(F.col("hi"))
     begin = F.when(F.col("gstrand") == "+", F.col("ts")).otherwise(F.col("te"))
     exon_name = lambda e: F.concat("chrom", F.lit(":"), e["start"].cast("string"), F.lit("-"), e["end"].cast("string"), F.lit("/"), "gstrand", F.lit("/"), "gene_name")
     touched = F.filter("exons", lambda e: F.exists("blocks", lambda b: (e["start"] <= b["hi"]) & (e["end"] >= b["lo"])))
-    gaps = F.transform(F.slice("blocks", F.lit(2), F.greatest(F.size("blocks") - 1, F.lit(0))), lambda b, i: F.struct(F.get("blocks", i)["hi"].alias("from"), b["lo"].alias("to")))
     junction = lambda x: F.concat("chrom", F.lit(":"), x["from"].cast("string"), F.lit("-"), x["to"].cast("string"), F.lit("/"), "gstrand", F.lit("/"), "gene_name")
-    skipped = F.filter("exons", lambda e: F.exists(gaps, lambda x: (e["start"] > x["from"]) & (e["end"] < x["to"])))
     detail = F.struct(
         rank.cast("int").alias("r"),
         "gene_id",
         "gene_name",
         "transcript_id",
         F.transform(touched, exon_name).alias("ex"),
-        F.when(F.col("p") == "S", F.transform(gaps, junction)).alias("jc"),
-        F.transform(skipped, exon_name).alias("er"),
+        F.when(F.col("t") == "S", F.transform(gaps, junction)).alias("jc"),
+        F.when(F.col("t") == "X", F.transform(skipped, exon_name)).alias("er"),
         F.when((five == begin) & (F.col("strand") == F.col("gstrand")), F.concat("gene_name", F.lit(":"), five.cast("string"), F.lit("/"), "gstrand")).alias("tss"),
     )
     per_read = typed.groupBy("key").agg(F.collect_list(detail).alias("d"), F.min(rank).cast("int").alias("best"))
@@ -203,7 +207,9 @@ def annotate_reads(
     names = lambda f: F.array_sort(F.array_distinct(F.transform("b", lambda x: x[f])))
     joined = lambda f: F.nullif(F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform("b", lambda x: x[f]), lambda v: v.isNotNull())))), F.array().cast("array<string>"))
     tss = F.array_sort(F.array_distinct(F.filter(F.transform("b", lambda x: x["tss"]), lambda v: v.isNotNull())))
-    out = per_read.select("key", letter.alias("re"), best.alias("b"))
+    out = per_read.select("key", letter.alias("re"), best.alias("b"), "d")
+    explained = F.transform(F.filter("d", lambda x: F.exists("b", lambda y: y["gene_id"] == x["gene_id"])), lambda x: x["er"])
+    excluded = F.nullif(F.array_sort(F.array_distinct(F.flatten(F.filter(explained, lambda v: v.isNotNull())))), F.array().cast("array<string>"))
     done = out.select(
         "key",
         "re",
@@ -213,7 +219,7 @@ def annotate_reads(
         F.when(F.lit(antisense) & F.col("re").isin("A", "B"), names("gene_name")).alias("at"),
         F.when(F.col("re").isin("E", "S"), joined("ex")).alias("ex"),
         F.when(F.col("re") == "S", joined("jc")).alias("jc"),
-        F.when(F.col("re") == "S", joined("er")).alias("er"),
+        F.when(shown, excluded).alias("er"),
         F.nullif(tss, F.array().cast("array<string>")).alias("tss"),
     )
     return reads.select("key").join(done, "key", "left").withColumn("re", F.coalesce("re", F.lit("I"))).withColumnRenamed("key", key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellspindle.plans import files, genomics, problems
+from cellspindle.plans import dense, files, genomics, problems
 
-QUERIES = problems.QUERIES | genomics.QUERIES | files.QUERIES
-SQL = problems.SQL | genomics.SQL | files.SQL
+QUERIES = problems.QUERIES | genomics.QUERIES | files.QUERIES | dense.QUERIES
+SQL = problems.SQL | genomics.SQL | files.SQL | dense.SQL
