@@ -32,23 +32,22 @@ Plan = list[tuple[dict[int, int], int]]  # (size -> copies, containers filled so
 def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
     """Knapsack with repetition: the most valuable multiset of sizes within the capacity."""
     value = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1, np.int64)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    taken = np.zeros(capacity + 1, np.int64)
+    gain = np.full(capacity + 1, -np.inf)  # of an item by its size; 0 stands for leaving one unit unused
+    fits = sizes <= capacity
+    gain[sizes[fits]] = worth[fits]
     for c in range(1, capacity + 1):
+        sums = value[c - 1 :: -1] + gain[1 : c + 1] if c > 1 else value[:1] + gain[1:2]
+        k = int(sums.argmax())
         value[c] = value[c - 1]
-        if n := upto[c]:
-            gains = value[c - sizes[:n]] + worth[:n]
-            k = int(gains.argmax())
-            if gains[k] > value[c]:
-                value[c], taken[c] = gains[k], k
+        if sums[k] > value[c]:
+            value[c], taken[c] = sums[k], k + 1
     picked: Counter[int] = Counter()
     c = capacity
     while c > 0:
-        if taken[c] < 0:
-            c -= 1
-        else:
-            picked[int(sizes[taken[c]])] += 1
-            c -= int(sizes[taken[c]])
+        if taken[c]:
+            picked[int(taken[c])] += 1
+        c -= max(int(taken[c]), 1)
     return dict(picked)
 
 
@@ -102,7 +101,7 @@ def _best_fit(left: dict[int, int], capacity: int) -> Plan:
     return [(dict(Counter(b)), n) for b, n in Counter(tuple(b) for b in bins).items()]
 
 
-def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400, step: float = 0.5, rate: float = 3.0, last: int = 0) -> Plan:
+def plan_containers(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 2000, step: float = 1.0, rate: float = 3.0, last: int = 0) -> Plan:
     """A plan that places exactly the histogram's items (sizes 1 to ``capacity``).
 
     A round that places nothing ends the program: it has closed one size or more with each configuration, so with at

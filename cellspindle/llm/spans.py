@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellspindle.session import materialize
+from cellspindle.session import materialize, spread
 
 KNOWN = -(2**63)  # the source of every known sequence
 BLOCK = 1 << 18  # units hashed at once
@@ -171,6 +171,7 @@ def shared_spans(
     sources = longer(df.select(record_id.cast("bigint").alias("src"), text.alias("text")).where("src is not null"))
     if known is not None:
         sources = sources.unionAll(longer(known.select(F.lit(KNOWN).cast("bigint").alias("src"), known[known_text].alias("text"))))
+    sources = spread(sources)
     heavy = (sources.agg(F.sum(F.length("text") - (width - 1))).first()[0] or 0) / HEAVY_SHARE
     anchors = _held_twice(sources.mapInArrow(_anchor_rows(width, False), "anchor long, src long"), ["anchor"], "anchors")
     stretches = sources.mapInArrow(_anchor_rows(width, True), ANCHORS)

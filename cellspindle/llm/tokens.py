@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellspindle.llm.lexicon import Lexicon, compile_words
-from cellspindle.session import write_shared_bytes
+from cellspindle.session import spread, write_shared_bytes
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits a text into words.
@@ -82,7 +82,7 @@ class CorpusTokenizer:
         with open(tokenizer, "rb") as f:
             ranks = f.read()
         frequent = (
-            df.select(text.alias("text"))
+            spread(df.select(text.alias("text")))
             .mapInArrow(_count_words, "word string, n long")
             .groupBy("word")
             .agg(F.sum("n").alias("n"))
@@ -143,10 +143,10 @@ def encode_corpus(df: DataFrame, doc_id: Column, text: Column, tokenizer: str =
     rows and null ids are kept; very long texts are encoded whole; empty table: no rows; clashing column names do no harm.
     """
     coder = CorpusTokenizer(df, text, tokenizer, words)
-    return df.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(coder.rows(True), "doc_id long, ids array<int>")
+    return spread(df.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"))).mapInArrow(coder.rows(True), "doc_id long, ids array<int>")
 
 
 def token_sizes(df: DataFrame, doc_id: Column, text: Column, tokenizer: str = TOKENIZER, words: int = LEXICON_WORDS) -> DataFrame:
     """(doc_id, n_tokens) of every row, 0 for a null or empty text."""
     coder = CorpusTokenizer(df, text, tokenizer, words)
-    return df.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).mapInArrow(coder.rows(False), "doc_id long, n_tokens int")
+    return spread(df.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"))).mapInArrow(coder.rows(False), "doc_id long, n_tokens int")
