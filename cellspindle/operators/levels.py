@@ -42,11 +42,13 @@ def step_levels(ranges: DataFrame, keys: Sequence[str], lo: str, hi: str, keep_f
             F.lead("first").over(along).alias("next_first"),
         )
     )
-    inside = Window.partitionBy("key", "bin").orderBy("pos")
+    # each bin gets the level it begins with as a row before its first, and the next bin's first position as one after its last
+    around = bins.selectExpr("key", "bin", "inline(array(struct(null as pos, base as d, false as last), struct(next_first as pos, 0L as d, true as last)))").where("not last or pos is not null")
+    inside = Window.partitionBy("key", "bin").orderBy(F.asc_nulls_first("pos"))
     return (
-        events.withColumn("within", F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("nxt", F.lead("pos").over(inside))
-        .join(bins, ["key", "bin"])
-        .select("key.*", F.col("pos").alias("lo"), F.coalesce("nxt", "next_first").alias("hi"), (F.col("base") + F.col("within")).alias("level"))
-        .where("hi is not null and level > 0")
+        events.select("key", "bin", "pos", "d", F.lit(False).alias("last"))
+        .unionAll(around)
+        .withColumns({"level": F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "hi": F.lead("pos").over(inside)})
+        .where("pos is not null and not last and hi is not null and level > 0")
+        .select("key.*", F.col("pos").alias("lo"), "hi", "level")
     )

@@ -59,28 +59,24 @@ def periods_and_gaps(
             F.coalesce(F.sum("be").over(before), F.lit(0)).alias("e0"),
         )
     )
-    inside = Window.partitionBy("e", "bin").orderBy("pos")
+    # what earlier bins hold stands as a row before each bin's first, so that no join is needed
+    carried = bins.select("e", "bin", F.lit(None).cast("int").alias("pos"), F.col("s0").alias("ns"), F.col("e0").alias("ne"))
+    inside = Window.partitionBy("e", "bin").orderBy(F.asc_nulls_first("pos"))
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     bounds = (
-        ranked.join(bins, ["e", "bin"])
-        .withColumn("n_begun", F.col("s0") + F.sum("ns").over(running))
-        .withColumn("n_ended", F.col("e0") + F.sum("ne").over(running))
+        ranked.select("e", "bin", F.col("pos").cast("int").alias("pos"), "ns", "ne")
+        .unionAll(carried)
+        .withColumns({"n_begun": F.sum("ns").over(running), "n_ended": F.sum("ne").over(running)})
         .withColumn("closes", F.col("n_begun") == F.col("n_ended"))
-        .where("closes or n_begun - ns = n_ended - ne")
+        .where("pos is not null and (closes or n_begun - ns = n_ended - ne)")
         .select("e", "bin", "pos", "closes")
+        .withColumns({"before": F.lag("pos").over(inside), "hi": F.lead("pos").over(inside)})
     )
-    following = (
-        bounds.groupBy("e", "bin")
-        .agg(F.min("pos").alias("first"))
-        .select("e", "bin", F.lead("first").over(Window.partitionBy("e").orderBy("bin")).alias("next_first"))
-    )
-    return (
-        bounds.withColumn("nxt", F.lead("pos").over(inside))
-        .join(following, ["e", "bin"])
-        .withColumn("hi", F.coalesce("nxt", "next_first"))
-        .where("hi is not null")
-        .select("e.*", F.when(F.col("closes"), "gap").otherwise("period").alias("kind"), F.col("pos").alias("lo"), "hi")
-    )
+    # the last boundary of a bin pairs with the first one of the next bin that has any: two rows a bin
+    edges = bounds.where("before is null or hi is null").withColumn("next", F.lead("pos").over(Window.partitionBy("e").orderBy("bin", "pos")))
+    across = edges.where("hi is null and next is not null").select("e", "pos", "closes", F.col("next").alias("hi"))
+    pairs = bounds.where("hi is not null").select("e", "pos", "closes", "hi").unionAll(across)
+    return pairs.select("e.*", F.when(F.col("closes"), "gap").otherwise("period").alias("kind"), F.col("pos").alias("lo"), "hi")
 
 
 def bed_periods(bed: DataFrame) -> DataFrame:
