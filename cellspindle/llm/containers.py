@@ -31,6 +31,11 @@ Plan = list[tuple[dict[int, int], int]]  # (size -> copies, containers filled so
 
 def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
     """Knapsack with repetition: the most valuable multiset of sizes within the capacity."""
+    return next(good_configurations(sizes, worth, capacity, 0.0), {})
+
+
+def good_configurations(sizes: np.ndarray, worth: np.ndarray, capacity: int, loss: float) -> Iterator[dict[int, int]]:
+    """The most valuable multiset of sizes, then others of nearly its value (short by ``loss`` of it) that share no size with those before."""
     value = np.zeros(capacity + 1)
     taken = np.zeros(capacity + 1, np.int64)
     gain = np.full(capacity + 1, -np.inf)  # of an item by its size; 0 stands for leaving one unit unused
@@ -42,20 +47,30 @@ def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> d
         value[c] = value[c - 1]
         if sums[k] > value[c]:
             value[c], taken[c] = sums[k], k + 1
-    picked: Counter[int] = Counter()
-    c = capacity
-    while c > 0:
-        if taken[c]:
-            picked[int(taken[c])] += 1
-        c -= max(int(taken[c]), 1)
-    return dict(picked)
-
-
-def _fractional(left: dict[int, int], capacity: int, rounds: int, step: float, rate: float) -> list[tuple[dict[int, int], float]]:
+    each = value[capacity - sizes[fits]] + worth[fits]  # the best with one item of this size at least
+    used: set[int] = set()
+    for i in np.argsort(-each, kind="stable"):
+        size = int(sizes[fits][i])
+        if each[i] < (1 - loss) * value[capacity]:
+            break
+        if size in used:
+            continue
+        picked = Counter({size: 1})
+        c = capacity - size
+        while c > 0:
+            if taken[c]:
+                picked[int(taken[c])] += 1
+            c -= max(int(taken[c]), 1)
+        if used.isdisjoint(picked):
+            used.update(picked)
+            yield dict(picked)
+
+
+def _fractional(left: dict[int, int], capacity: int, rounds: int, step: float, rate: float, loss: float = 0.03) -> list[tuple[dict[int, int], float]]:
     """Configurations with fractional counts; no size is covered more than once over.
 
-    Every round prices the best configuration under the weights and takes ``step`` of what its scarcest size still
-    needs; what a size has been covered lowers its weight by the factor exp(-rate * share).
+    Every round prices the best configuration under the weights, and others nearly as good that have no size in common
+    with it, so that the weights hold for them too, and takes ``step`` of what the scarcest size of each still needs; what a size has been covered lowers its weight by the factor exp(-rate * share).
     """
     sizes = np.array(sorted(left), np.int64)
     need = np.array([left[s] for s in sizes], float)
@@ -66,13 +81,13 @@ def _fractional(left: dict[int, int], capacity: int, rounds: int, step: float, r
         if not len(open_):
             break
         weights = sizes[open_] ** LEAN * np.exp(-rate * (covered[open_] - covered[open_].min()))
-        config = best_configuration(sizes[open_], weights, capacity)
-        at = np.searchsorted(sizes, list(config))
-        copies = np.array(list(config.values()))
-        x = max(step * ((1 - covered[at]) * need[at] / copies).min(), min(1.0, (need[at] / copies).min()))
-        covered[at] += x * copies / need[at]
-        key = tuple(config.items())
-        chosen[key] = chosen.get(key, 0) + x
+        for config in good_configurations(sizes[open_], weights, capacity, loss):
+            at = np.searchsorted(sizes, list(config))
+            copies = np.array(list(config.values()))
+            x = max(step * ((1 - covered[at]) * need[at] / copies).min(), min(1.0, (need[at] / copies).min()))
+            covered[at] += x * copies / need[at]
+            key = tuple(config.items())
+            chosen[key] = chosen.get(key, 0) + x
     return [(dict(c), x) for c, x in chosen.items()]
 
 
