@@ -2,9 +2,10 @@
 
 Addresses of every kind are found by component grammars of six languages; identity numbers by their label and shape;
 phone numbers by national shapes, unless a code label stands before them; names by a lexicon that grows from a short
-list with counts over all documents: a word that mostly stands next to known name parts is one. Listed words are judged
-by the same counts; one that is mostly something else, as a place, is a name only beside another name part or in a
-context (the words before and after) in which sure names stand and other capitalised words do not.
+list with counts over all documents: a word that mostly stands next to known name parts is one. Occurrences in lower
+case count too, so that an ordinary word of a text in capitals is none. Listed words are judged by the same counts; one
+that is mostly something else, as a place, is a name only beside another name part or in a context (the words before and
+after) in which sure names stand and other capitalised words do not.
 
 Everything works on characters of the text as given; full-width letters and digits are read as plain ones (one
 character each, so positions stay). The texts are processed whole, batch by batch; spans of fixed shape are searched
@@ -106,6 +107,7 @@ COMMA = regex.compile(r",[  ](?:\p{Lu}\.[  ])?")
 LEAD = regex.compile(rf"(?:(?<![\p{{Latin}}\p{{Cyrillic}}.])\p{{Lu}}\.[  ]?)+(?:{PARTICLES}[  ])?$")
 TRAIL = regex.compile(r"[  ]\p{Lu}\.(?![\p{L}])")
 
+PRIOR_WEIGHT = 10  # words of the usual share that stand for what is not known of a context
 
 MARK = regex.compile(rf"{_AT}| at (?=[A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+)* dot )")
 AT_SIGNS = ("@", " AT ", " dot ", "at)", "at]", "AT)", "AT]", "arroba")  # one of them stands in every address
@@ -114,7 +116,7 @@ DIGIT = regex.compile(r"\d")
 HAN = regex.compile(r"\p{Han}")
 TRIM = " \t\u00a0\u2009\u202f\u3000"
 BEFORE = regex.compile(rf"(?:\p{{Han}}{{1,2}}|[^\P{{Alnum}}\p{{Han}}][^\P{{L}}\p{{Han}}'’]{{0,40}}\.?|[^{TRIM}])?[{TRIM}]*", regex.REVERSE)
-AFTER = regex.compile(rf"[{TRIM}]*(?:\p{{Han}}{{1,2}}|[^\P{{Alnum}}\p{{Han}}]['’\w&&[^\p{{Han}}]]{{0,40}}|[^{TRIM}])?", regex.V1)
+AFTER = regex.compile(rf"[{TRIM}]*(?:\p{{Han}}{{1,2}}|[^\P{{Alnum}}\p{{Han}}]['’\w\-&&[^\p{{Han}}]]{{0,40}}|[^{TRIM}])?", regex.V1)
 WIDE = regex.compile("[\uff01-\uff5e\u3000]")
 
 
@@ -211,6 +213,11 @@ def _stem(word: str) -> str:
     return w[:-2] if w.endswith("'s") else w
 
 
+def _small(word: str) -> bool:
+    """Whether a word is in lower case; the article of "al-X" says nothing."""
+    return word[0].islower() and not word.lower().startswith("al-")
+
+
 SPAN = "array<struct<kind: string, lo: int, hi: int>>"
 SCANNED = f"doc_id long, text string, fixed {SPAN}"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())]))
@@ -242,36 +249,50 @@ def _blanks(batch: pa.RecordBatch, text: int, fixed: int) -> Iterator[str]:
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n): capitalised words beside each other, and with empty b the count of each capitalised word."""
+    """(a, b, n, low): capitalised words beside each other, and with empty b the count of each word and how often it is in lower case.
+
+    After a genitive the name has ended, so what follows is not beside it.
+    """
     for batch in batches:
         seen: Counter[tuple[str, str]] = Counter()
+        words: Counter[str] = Counter()
         for blank in _blanks(batch, 0, 1):
+            words.update(WORD.findall(blank))
             before, end = "", 0
             for m in CAPITALISED.finditer(blank):
-                stem = _stem(m.group())
-                seen[stem, ""] += 1
+                word = m.group()
+                stem = _stem(word)
                 if before and GAP.fullmatch(blank, end, m.start()):
                     seen[before, stem] += 1
-                before, end = stem, m.end()
+                before, end = "" if _even(word[-2:]) == "'s" else stem, m.end()
+        low: Counter[tuple[str, str]] = Counter()
+        for word, n in words.items():
+            key = _stem(word), ""
+            seen[key] += n
+            if word[0].islower():
+                low[key] += n
         if seen:
             a, b = zip(*seen, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["a", "b", "n"])
+            counts = [pa.array(list(seen.values()), pa.int64()), pa.array([low[k] for k in seen], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), *counts], names=["a", "b", "n", "low"])
 
 
 def grow_lexicon(
-    scanned: DataFrame, names: DataFrame, rounds: int = 3, share: float = 0.3, listed_share: float = 0.15, trust: float = 3.0, one: float = 0.8, against: float = 0.4, behind: float = 0.5, weak_share: float = 0.005
+    scanned: DataFrame, names: DataFrame, rounds: int = 3, share: float = 0.3, listed_share: float = 0.15, trust: float = 3.0, one: float = 0.8, against: float = 0.4, behind: float = 0.5, weak_share: float = 0.005, most_low: float = 0.5
 ) -> tuple[DataFrame, DataFrame]:
     """(w, sure) of the words of names, and (a, b) of the fixed phrases that look like two of them.
 
     All words are judged by the same counts over all documents, listed ones too, since a list holds words that are
-    mostly something else. A word is a sure one if at least ``share`` of its occurrences stand beside a sure word; for
-    listed words ``listed_share`` is enough, with ``trust`` occurrences beside a name granted, so that rare ones stay.
-    Other listed words are weak: names only beside another name part, or where the context says so. So are words that
-    stand behind a sure one in ``behind`` of their occurrences behind any capitalised word, and in ``weak_share`` of all.
+    mostly something else. A word is a sure one if at least ``share`` of its occurrences, in any case, stand beside a sure
+    word; a word that is not listed is none where more than ``most_low`` of them are in lower case. For listed words
+    ``listed_share`` is enough, with ``trust`` occurrences beside a name granted, so that rare ones stay. Other listed words
+    are weak: names only beside another name part, or where the context says so. So are words that stand behind a sure one
+    in ``behind`` of their occurrences behind any capitalised word, and in ``weak_share`` of all.
+    "Xs" is a form of the word X, no word of its own: what stands behind it stands behind a genitive.
     Two words that stand beside each other in more than ``one`` of what stands behind the first and before the second
     are a fixed phrase, as a place name is; ``against`` keeps pairs seen once from being one. Nothing here depends on the corpus' size.
     """
-    pairs = materialize(scanned.where("text != ''").select("text", "fixed").mapInArrow(_pair_rows, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "word-pairs")
+    pairs = materialize(scanned.where("text != ''").select("text", "fixed").mapInArrow(_pair_rows, "a string, b string, n long, low long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("low").alias("low")), "word-pairs")
     both = pairs.where("b != ''")
     after = both.groupBy(F.col("b").alias("w")).agg(F.sum("n").alias("any_before"))
     ahead = both.groupBy("a").agg(F.sum("n").alias("any_after"))
@@ -280,19 +301,22 @@ def grow_lexicon(
     free = links.where("not fixed")
     sides = free.select(F.col("a").alias("w"), F.col("b").alias("other"), "n", F.lit(0).alias("behind")).unionAll(free.select("b", "a", "n", F.lit(1)))
     listed = names.where("token is not null").select(F.col("token").alias("raw")).mapInArrow(_stem_rows, "w string").distinct().withColumn("listed", F.lit(True))
-    totals = pairs.where("b = ''").select(F.col("a").alias("w"), F.col("n").alias("total"))
-    base = totals.join(listed, "w", "full").join(after, "w", "left").where(~F.col("w").isin(*sorted(TITLES)))
-    base = materialize(base.select("w", "listed", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("total", "any_before")]), "name-base")
+    totals = pairs.where("b = ''").select(F.col("a").alias("w"), F.col("n").alias("total"), "low")
+    linked = links.select(F.col("a").alias("w")).unionAll(links.select("b")).distinct()
+    base = linked.join(listed, "w", "full").join(totals, "w", "left").join(after, "w", "left").where(~F.col("w").isin(*sorted(TITLES)))
+    base = base.select("w", "listed", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("total", "low", "any_before")])
+    base = materialize(base.where(F.col("listed") | (F.col("low") <= most_low * F.col("total"))), "name-base")
     n, by = (F.coalesce(F.col(c), F.lit(0)) for c in ("n", "by"))
-    grade = F.when(F.col("listed"), n + trust >= listed_share * (F.col("total") + trust)).when(n >= share * F.col("total"), True)
+    grade = F.when(F.col("listed"), n + trust >= listed_share * (F.col("total") + trust)).when((n > 0) & (n >= share * F.col("total")), True)
     grade = grade.when((by >= 2) & (by >= behind * F.col("any_before")) & (by >= weak_share * F.col("total")), False)
     words = base.where("listed").select("w", F.lit(True).alias("sure"))
     for _ in range(rounds):  # small tables, written so that the next round plans with their true size
         known = words.where("sure").select(F.col("w").alias("other"))
         beside = sides.join(known, "other").groupBy("w").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("behind")).alias("by"))
         words = materialize(base.join(beside, "w", "left").select("w", "listed", grade.alias("sure")).where("sure is not null"), "name-words")
-    genitive = words.where("sure").select(F.concat("w", F.lit("s")).alias("w"))  # "Xs", the form of a name, is no name of its own
-    kept = words.where("listed").unionAll(words.where("listed is null").join(genitive, "w", "left_anti")).select("w", "sure")
+        genitive = words.select(F.concat("w", F.lit("s")).alias("w"))
+        words = words.where("listed").unionAll(words.where("listed is null").join(genitive, "w", "left_anti"))
+    kept = words.select("w", "sure")
     weak = kept.where("not sure").select("w")
     phrases = links.where("fixed").select("a", "b").join(weak.toDF("a"), "a", "left_semi").join(weak.toDF("b"), "b", "left_semi")
     return kept, phrases
@@ -442,7 +466,7 @@ class NameFinder:
     def _part(self, word: str) -> int:
         stem = _stem(word)
         if stem in self.quick:
-            return len(word) - 2 if word[-2:] in ("'s", "’s") else len(word)
+            return len(word) - 2 if _even(word[-2:]) == "'s" else len(word)
         if stem.endswith("s") and stem[:-1] in self.quick and len(stem) > 4:
             return len(word) - 1
         if stem.startswith("al-") and stem[3:] in self.quick:
@@ -462,6 +486,9 @@ class NameFinder:
                 lo, hi, n, w = group[-1]
                 whole = hi - lo == n  # after a genitive the name has ended
                 nxt = words[i + 1]
+                small, other = _small(w), _small(nxt[3])
+                if small != other and not self._sure(_stem(w if small else nxt[3])):
+                    break  # a weak word in lower case is no part of a name in capitals
                 if whole and GAP.fullmatch(blank, hi, nxt[0]):
                     if comma and len(group) > 2:
                         break
@@ -489,7 +516,7 @@ class NameFinder:
                     return []
             elif not (lead and "." in lead.group()) and self._context(blank, lo, hi) <= 0:
                 return []
-        lower = [w[0].islower() and not w.lower().startswith("al-") for *_, w in group]
+        lower = [_small(w) for *_, w in group]
         if all(lower) and len(group) < 2 and not lead:
             return []
         if len(group) == 1 and not lead:
@@ -509,7 +536,10 @@ class NameFinder:
         return [("name", lo, hi)]
 
     def _context(self, blank: str, lo: int, hi: int) -> float:
-        """Log odds that a capitalised word is a name, from the words before and after it, taken as independent."""
+        """Log odds that a capitalised word is a name, from the words before and after it, taken as independent.
+
+        ``PRIOR_WEIGHT`` words of the usual share are added to each count, so that one or two names in a context decide nothing.
+        """
         names, total = self.contexts.get(("", ""), (0, 0))
         if not 0 < names < total:
             return 0.0
@@ -517,7 +547,7 @@ class NameFinder:
         odds = -log(prior / (1 - prior))
         for key in (("before", _token_before(blank, lo)), ("after", _token_after(blank, hi))):
             n, of = self.contexts.get(key, (0, 0))
-            p = (n + 2 * prior) / (of + 2)
+            p = (n + PRIOR_WEIGHT * prior) / (of + PRIOR_WEIGHT)
             odds += log(p / (1 - p))
         return odds
 

@@ -101,6 +101,25 @@ def test_place_phrases(spark):
     assert sorted(got) == [(i, texts[i][11:-6]) for i in range(60, 75)]
 
 
+def test_words_of_capitals_are_no_names(spark):
+    """One text in capitals must not make names of the ordinary words beside the names in it."""
+    people = [f"{g} {f}" for g in ("Gildora", "Oswick", "Jarmund") for f in ("Rusvik", "Mottrell")]
+    texts = [f"{p}'s number is lost; the form lists {p} twice. We met in Tolbury." for p in people] * 3
+    texts += ["GILDORA VELDA'S NUMBER IS LOST. THE FORM LISTS OSWICK VELDA TWICE, AS SEEN IN JARMUND VELDA IN TOLBURY."]
+    texts += [f"{p}s Nummer ist alt." for p in people]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = spark.createDataFrame([(w,) for w in "Gildora Oswick Jarmund Rusvik Mottrell".split()], "token string")
+    known, weak = lexicon(d, n)
+    assert "velda" in known and not {"is", "number", "lists", "in", "nummer", "twice"} & (known | weak)
+    assert {texts[r.doc_id][r.lo : r.hi].title() for r in found_in(d, n)} == {*people, "Gildora Velda", "Oswick Velda", "Jarmund Velda"}
+
+
+def test_weak_words_in_lower_case():
+    find = pii.NameFinder(LEXICON, frozenset({"can", "tolbury"}))
+    texts = ("Gildora can come", "can Gildora come", "Gildora Tolbury came", "oswick tolbury came")
+    assert [[t[a:b] for _, a, b in find(t)] for t in texts] == [["Gildora"], ["Gildora"], ["Gildora Tolbury"], ["oswick tolbury"]]
+
+
 def test_replacement(spark):
     d, n = docs(spark)
     out = {r.doc_id: r for r in replace_personal(d, d.doc_id, d.text, n, b"key").collect()}
