@@ -290,7 +290,7 @@ def grow_lexicon(
     in ``behind`` of their occurrences behind any capitalised word, and in ``weak_share`` of all.
     "Xs" is a form of the word X, no word of its own: what stands behind it stands behind a genitive.
     Two words that stand beside each other in more than ``one`` of what stands behind the first and before the second
-    are a fixed phrase, as a place name is; ``against`` keeps pairs seen once from being one. Nothing here depends on the corpus' size.
+    are a fixed phrase, as a place name is (each a has one b at most); ``against`` keeps pairs seen once from being one. Nothing here depends on the corpus' size.
     """
     pairs = materialize(scanned.where("text != ''").select("text", "fixed").mapInArrow(_pair_rows, "a string, b string, n long, low long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("low").alias("low")), "word-pairs")
     both = pairs.where("b != ''")
@@ -318,7 +318,7 @@ def grow_lexicon(
         words = words.where("listed").unionAll(words.where("listed is null").join(genitive, "w", "left_anti"))
     kept = words.select("w", "sure")
     weak = kept.where("not sure").select("w")
-    phrases = links.where("fixed").select("a", "b").join(weak.toDF("a"), "a", "left_semi").join(weak.toDF("b"), "b", "left_semi")
+    phrases = links.where("fixed").select("a", "b").join(weak.toDF("a"), "a", "left_semi").join(weak.toDF("b"), "b", "left_semi").select("a", "b")
     return kept, phrases
 
 
@@ -386,52 +386,88 @@ def _forms(stem: str) -> list[str]:
     return [stem, *([stem[:-1]] if stem.endswith("s") else []), *([stem[3:]] if stem.startswith("al-") else [])]
 
 
+def _around_rows(model):
+    """(key, side, token) of what stands before and after the weak words of a text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, str, str]] = []
+            for key, blank, find in zip(batch.column(0).to_pylist(), _blanks(batch, 1, 2), model.finders(batch), strict=True):
+                own: set[tuple[int, str, str]] = set()
+                for m in WORD.finditer(blank):
+                    n = find.part(m.group())
+                    if n and not find._sure(_stem(m.group())):
+                        own |= {(key, "before", _token_before(blank, m.start())), (key, "after", _token_after(blank, m.start() + n))}
+                out += sorted(own)
+            if out:
+                keys, sides, tokens = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sides, pa.string()), pa.array(tokens, pa.string())], names=["key", "side", "token"])
+
+    return rows
+
+
 class NameModel:
-    """The lexicon and the contexts of one corpus, for Arrow functions over (doc_id, text, fixed, known)."""
+    """The lexicon and the contexts of one corpus, for Arrow functions over (doc_id, text, fixed, known, around)."""
 
-    def __init__(self, words, phrases: frozenset = frozenset(), contexts: dict | None = None):
-        self.words, self.phrases, self.contexts = words, phrases, contexts or {}
+    def __init__(self, words):
+        self.words, self.contexts, self.by_text = words, {}, False
         self.shared: NameFinder | None = None  # made once by each task
 
     def finders(self, batch: pa.RecordBatch) -> Iterator[NameFinder]:
-        if self.words is not None:
-            find = self.shared = self.shared or NameFinder(*self.words.value, self.phrases, self.contexts).with_trie()
-            yield from (find for _ in range(batch.num_rows))
-        else:
-            for known in batch.column(3).to_pylist():
-                own = [(k["w"], k["sure"]) for k in known or ()]
-                yield NameFinder(frozenset(w for w, s in own if s), frozenset(w for w, s in own if not s), self.phrases, self.contexts)
+        """A finder for each row; it holds for that row only."""
+        for i in range(batch.num_rows):
+            if self.words is not None:
+                find = self.shared = self.shared or NameFinder(*self.words.value, self.contexts).with_trie()
+            else:
+                find = NameFinder(*_packed(batch.column(3)[i].as_py() or ()), self.contexts)
+            if self.by_text:
+                find.contexts = self.contexts | _context_counts(batch.column(4)[i].as_py() or ())
+            yield find
+
+
+def _packed(words) -> tuple[frozenset, frozenset, frozenset]:
+    """Sure words, weak words and fixed phrases of rows of the lexicon."""
+    return frozenset(r["w"] for r in words if r["sure"]), frozenset(r["w"] for r in words if not r["sure"]), frozenset((r["w"], r["next"]) for r in words if r["next"])
 
 
-def name_model(scanned: DataFrame, names: DataFrame, most: int = 500_000, finest: int = 50_000) -> tuple[DataFrame, NameModel]:
+def _context_counts(rows) -> dict:
+    return {(r["side"], r["token"]): (r["names"], r["total"]) for r in rows}
+
+
+def name_model(scanned: DataFrame, names: DataFrame, most: int = 500_000, most_contexts: int = 100_000) -> tuple[DataFrame, NameModel]:
     """The texts with what the model needs beside them, and the model.
 
-    Up to ``most`` words go to the workers as a whole. Beyond that every text gets the words of the lexicon it holds by
-    a join, on a hash of the text (texts that share a hash share their words, which changes nothing). A context that
-    stands beside fewer than one in ``finest`` words counts as unknown, which bounds their number.
+    Up to ``most`` words and ``most_contexts`` contexts go to the workers as a whole. Beyond that every text gets the words
+    of the lexicon it holds, with the fixed phrases they begin, and the contexts of its weak words by joins, on a hash of the
+    text (texts that share a hash share these, which changes nothing). The results are the same either way.
     """
     sc = scanned.sparkSession.sparkContext
     words, phrases = grow_lexicon(scanned, names)
-    words = materialize(words, "lexicon")
-    whole = words.count() <= most
-    if whole:
-        rows = words.collect()
-        packed = (frozenset(r.w for r in rows if r.sure), frozenset(r.w for r in rows if not r.sure))
-        texts, model = scanned.withColumn("known", F.lit(None).cast("string")), NameModel(sc.broadcast(packed))
+    words = materialize(words.join(phrases.toDF("w", "next"), "w", "left"), "lexicon")
+    none = F.lit(None).cast("string")
+    if words.count() <= most:
+        packed = _packed(words.collect())
+        texts, model = scanned.withColumns({"known": none, "around": none}), NameModel(sc.broadcast(packed))
         if not packed[1]:
             return texts, model
     else:
         keyed = scanned.withColumn("key", F.xxhash64("text"))
         forms = keyed.where("text != ''").select("key", "text", "fixed").mapInArrow(_form_rows, "key long, w string").distinct()
-        own = forms.join(words, "w").groupBy("key").agg(F.collect_list(F.struct("w", "sure")).alias("known"))
-        texts, model = materialize(keyed.join(own, "key", "left").drop("key"), "texts-with-words"), NameModel(None)
+        own = forms.join(words, "w").groupBy("key").agg(F.collect_list(F.struct("w", "sure", "next")).alias("known"))
+        texts, model = materialize(keyed.join(own, "key", "left").drop("key").withColumn("around", none), "texts-with-words"), NameModel(None)
     counts = materialize(texts.where("text != ''").mapInArrow(_context_rows(model), "side string, token string, names long, total long").groupBy("side", "token").agg(F.sum("names").alias("names"), F.sum("total").alias("total")), "contexts")
-    base = counts.where("side = ''").first()
+    base = counts.where("side = ''").collect()  # one row at most
     if base:
-        kept = counts.where((F.col("total") >= base.total / finest) & (F.col("side") != "")).collect()  # at most 2 * finest rows
-        model.contexts = {(r.side, r.token): (r.names, r.total) for r in kept} | {("", ""): (base.names, base.total)}
-    if whole and phrases.limit(most + 1).count() <= most:
-        model.phrases = frozenset((r.a, r.b) for r in phrases.collect())
+        model.contexts = _context_counts(base)
+        counts = counts.where("side != ''")
+        if counts.count() <= most_contexts:
+            model.contexts |= _context_counts(counts.collect())
+        else:
+            keyed = texts.drop("around").withColumn("key", F.xxhash64("text"))
+            around = keyed.where("text != ''").select("key", "text", "fixed", "known").mapInArrow(_around_rows(model), "key long, side string, token string").distinct()
+            own = around.join(counts, ["side", "token"]).groupBy("key").agg(F.collect_list(F.struct("side", "token", "names", "total")).alias("around"))
+            texts = materialize(keyed.join(own, "key", "left").drop("key"), "texts-with-contexts")
+            model.by_text = True
     return texts, model
 
 

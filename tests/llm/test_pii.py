@@ -91,6 +91,24 @@ def test_listed_words_are_judged(spark, most):
     assert located[len(texts) - 1] == ["Marbury", "Marbury"]
 
 
+@pytest.mark.parametrize("sizes", [{"most": 0}, {"most_contexts": 0}, {"most": 0, "most_contexts": 0}])
+def test_sizes_change_nothing(spark, sizes):
+    """Words, fixed phrases and contexts joined to the texts give the same rows as when they are sent whole."""
+    texts = [*town_texts("Marbury"), *[f"Room {i} in Flint Bridge was closed." for i in range(60)], "Marbury's gate", "Once Marbury can be lost.", "", None]
+    d = spark.createDataFrame([*enumerate(texts), (None, "now Marbury can be reached at noon.")], "doc_id long, text string")
+    n = spark.createDataFrame([(w,) for w in "Gildora Oswick Jarmund Calidra Rusvik Mottrell Marbury Flint Bridge".split()], "token string")
+    scanned = pii.scan(d, d.doc_id, d.text)
+
+    def located(**limits):
+        rows, model = pii.name_model(scanned, n, **limits)
+        found = rows.mapInArrow(pii._located_rows(model), f"doc_id long, text string, spans {pii.SPAN}").collect()
+        return {(r.doc_id, r.text): [r.text[s.lo : s.hi] for s in r.spans] for r in found}
+
+    want = located()
+    assert want[None, "now Marbury can be reached at noon."] == ["Marbury"] and not any("Bridge" in x for spans in want.values() for x in spans)
+    assert located(**sizes) == want
+
+
 def test_place_phrases(spark):
     """Both halves of a place name in the list are no name; a third of the list missing is grown again."""
     texts = [f"Room {i} in Flint Bridge was closed." for i in range(60)]
