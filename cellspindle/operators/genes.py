@@ -14,7 +14,8 @@ from cellspindle.functions import cigar, flags
 from cellspindle.operators import intervals
 from cellspindle.operators.filters import tag
 
-# Feature names that are read, and region types by priority.
+# Bases of a bin for whole genes, feature names that are read, and region types by priority.
+GENE_BIN = 65_536
 FEATURES = ("gene", "transcript", "exon", "CDS", "UTR", "start_codon", "stop_codon", "five_prime_utr", "three_prime_utr", "5UTR", "3UTR", "inter", "inter_CNS", "intron_CNS")
 READ_TYPES = ("S", "E", "C", "R", "N", "X", "A", "B", "V", "U")
 BED_TYPES = [
@@ -259,31 +260,30 @@ def annotate_bed(regions: DataFrame, features: DataFrame, up: int = 1000, down:
     r = regions.select(F.col(key).alias("key"), "chrom", F.col("start").alias("s"), F.col("end").alias("e"), F.col("strand").alias("rstrand"))
     g = genes(features).select(F.col("chrom").alias("gc"), "gene_id", "gene_name", (F.col("start") - 1).alias("gs"), F.col("end").alias("ge"), F.col("strand").alias("gstrand"))
     flank = max(up, down)
-    model = g.withColumns({"g0": F.greatest(F.col("gs") - flank, F.lit(0)), "g1": F.col("ge") + flank})
-    near = intervals.overlap_join(r, model, ("chrom", "s", "e"), ("gc", "g0", "g1"))
     t = transcripts(features).where("size(exons) > 0").select("gene_id", F.col("chrom").alias("gc"), "exons", "cds")
+    model = g.join(t.hint("merge"), ["gene_id", "gc"], "left").withColumns({"g0": F.greatest(F.col("gs") - flank, F.lit(0)), "g1": F.col("ge") + flank})
+    near = intervals.overlap_join(r, model, ("chrom", "s", "e"), ("gc", "g0", "g1"), size=GENE_BIN)
     other = F.lit(False) if ignore_strand else F.coalesce(F.col("rstrand").isin("+", "-") & (F.col("rstrand") != F.col("gstrand")), F.lit(False))
-    inside = near.where("s >= gs and e <= ge and not (s <= gs and e >= ge)").join(t, ["gene_id", "gc"])
     at = lambda a: F.filter(a, lambda x: (x["start"] <= F.col("e")) & (x["end"] > F.col("s")))
-    met = at("exons")
-    first = F.get(met, F.lit(0))
+    first = F.get("met", F.lit(0))
     coded = (F.size("cds") > 0) & (F.size(at("cds")) == 0)
     passed = F.exists("cds", lambda x: x["end"] <= F.col("s"))
     utr = F.when(passed == (F.col("gstrand") != "-"), "utr3").otherwise("utr5")
     position = (
-        F.when(F.size(met) > 1, "multiexons")
-        .when(F.size(met) == 0, "intron")
+        F.when(F.size("met") > 1, "multiexons")
+        .when(F.size("met") == 0, "intron")
         .when((first["start"] <= F.col("s") + 1) & (first["end"] >= F.col("e")), F.when(coded, utr).otherwise("exon"))
         .otherwise("exonintron")
     )
-    within = inside.withColumn("type", F.when(~other, position).when(position.isin("exon", "utr3", "utr5", "intron"), F.concat(F.lit("antisense_"), position)).otherwise("antisense_complex"))
-    beside = near.where("not (s >= gs and e <= ge)").withColumn(
-        "type",
-        F.when((F.col("s") <= F.col("gs")) & (F.col("e") >= F.col("ge")), F.when(other, "antisense_complex").otherwise("whole_gene")).otherwise(_side(up, down, other)),
+    within = F.when(~other, F.col("position")).when(F.col("position").isin("exon", "utr3", "utr5", "intron"), F.concat(F.lit("antisense_"), "position")).otherwise("antisense_complex")
+    inside = F.col("exons").isNotNull() & (F.col("s") >= F.col("gs")) & (F.col("e") <= F.col("ge"))
+    placed = near.withColumn("met", F.when(inside, at("exons"))).withColumn("position", F.when(inside, position))
+    kind = (
+        F.when((F.col("s") <= F.col("gs")) & (F.col("e") >= F.col("ge")), F.when(other, "antisense_complex").otherwise("whole_gene"))
+        .when((F.col("s") >= F.col("gs")) & (F.col("e") <= F.col("ge")), F.when(inside, within))
+        .otherwise(_side(up, down, other))
     )
-    whole = near.where("s = gs and e = ge").withColumn("type", F.when(other, "antisense_complex").otherwise("whole_gene"))
-    cols = ["key", "gene_name", "type"]
-    every = within.select(*cols).unionByName(beside.select(*cols)).unionByName(whole.select(*cols)).where("type is not null")
+    every = placed.select("key", "gene_name", kind.alias("type")).where("type is not null")
     order = F.array_position(F.array(*map(F.lit, BED_TYPES)), F.col("type"))
     best = every.withColumn("rank", order).groupBy("key").agg(F.min("rank").alias("rank"), F.collect_set(F.struct("rank", "gene_name")).alias("x"))
     chosen = best.withColumn("genes", F.array_sort(F.array_distinct(F.transform(F.filter("x", lambda v: (v["rank"] == F.col("rank")) | (F.col("rank") <= 10)), lambda v: v["gene_name"]))))

@@ -131,3 +131,19 @@ def test_named_regions(spark):
 def test_flattened_exons(spark):
     m = model(spark, ("exon", 1, 10, "+", "G", "T"), ("exon", 6, 15, "+", "G", "U"))
     assert sorted((r.start, r.end) for r in genes.flattened_exons(m).collect()) == [(0, 5), (5, 10), (10, 15)]
+
+
+def test_models_are_not_broadcast(spark, two_exons, tmp_path):
+    df = spark.createDataFrame([(1, "c", 159, 180, "+")], "row_id int, chrom string, start int, end int, strand string")
+    two_exons.write.parquet(str(tmp_path / "m"))
+    found = genes.annotate_bed(df, spark.read.parquet(str(tmp_path / "m")))
+    assert broadcasts(plan(found)) == "" and found.first().type == "exon"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def broadcasts(text):
+    """Lines of the joins that broadcast a side, but for the short table of crowded bins."""
+    return "\n".join(x for x in text.split("\n") if "BroadcastHashJoin" in x and "_hbin" not in x)
