@@ -140,6 +140,14 @@ def test_models_are_not_broadcast(spark, two_exons, tmp_path):
     assert broadcasts(plan(found)) == "" and found.first().type == "exon"
 
 
+def test_report_broadcasts_nothing(spark, two_exons, tmp_path):
+    spark.createDataFrame([(1, "c", 159, 180, "+"), (2, "c", 210, 230, "+")], "row_id int, chrom string, start int, end int, strand string").write.parquet(str(tmp_path / "r"))
+    two_exons.write.parquet(str(tmp_path / "m"))
+    df = spark.read.parquet(str(tmp_path / "r"))
+    found = genes.type_report(genes.annotate_bed(df, spark.read.parquet(str(tmp_path / "m"))), df)
+    assert broadcasts(plan(found)) == "" and {tuple(r) for r in found.collect()} == {("exon", 1, 21), ("intron", 1, 20)}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
