@@ -48,6 +48,20 @@ def covered(pos: Column, cigar: Column) -> Column:
     return _ranges(pos, cigar, ("N", "D"), ALIGNED)
 
 
+def segments(pos: Column, cigar: Column) -> Column:
+    """array<struct<lo, hi, q>>: ranges of bases aligned one to one, with the 1-based offset in the read of their first base."""
+    none = F.array().cast("array<struct<lo:int,hi:int,q:int>>")
+    state = lambda r, q, out: F.struct(r.cast("int").alias("r"), q.cast("int").alias("q"), out.alias("out"))
+    piece = lambda a, o: F.array(F.struct(a["r"].alias("lo"), (a["r"] + o["n"] - 1).cast("int").alias("hi"), a["q"].alias("q")))
+    step = lambda a, o: (
+        F.when(o["op"].isin(*ALIGNED), state(a["r"] + o["n"], a["q"] + o["n"], F.when(o["n"] > 0, F.concat(a["out"], piece(a, o))).otherwise(a["out"])))
+        .when(o["op"].isin("D", "N"), state(a["r"] + o["n"], a["q"], a["out"]))
+        .when(o["op"].isin("I", "S"), state(a["r"], a["q"] + o["n"], a["out"]))
+        .otherwise(a)
+    )
+    return F.aggregate(operations(cigar), state(pos, F.lit(1), none), step, lambda a: a["out"])
+
+
 def read_offset(pos: Column, cigar: Column, at: Column) -> Column:
     """1-based offset in the read of reference position ``at``; null where no base is aligned to it."""
     state = lambda r, q, hit: F.struct(r.cast("int").alias("r"), q.cast("int").alias("q"), hit.cast("int").alias("hit"))

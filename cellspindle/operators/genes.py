@@ -14,8 +14,8 @@ from cellspindle.functions import cigar, flags
 from cellspindle.operators import intervals
 from cellspindle.operators.filters import tag
 
-# Bases of a bin for whole genes, feature names that are read, and region types by priority.
-GENE_BIN = 65_536
+# Bases of a bin for whole genes and for variants, feature names that are read, and region types by priority.
+GENE_BIN, VARIANT_BIN = 65_536, 256
 FEATURES = ("gene", "transcript", "exon", "CDS", "UTR", "start_codon", "stop_codon", "five_prime_utr", "three_prime_utr", "5UTR", "3UTR", "inter", "inter_CNS", "intron_CNS")
 READ_TYPES = ("S", "E", "C", "R", "N", "X", "A", "B", "V", "U")
 BED_TYPES = [
@@ -289,7 +289,7 @@ def annotate_bed(regions: DataFrame, features: DataFrame, up: int = 1000, down:
     chosen = best.withColumn("genes", F.array_sort(F.array_distinct(F.transform(F.filter("x", lambda v: (v["rank"] == F.col("rank")) | (F.col("rank") <= 10)), lambda v: v["gene_name"]))))
     label = F.when((F.size("genes") > 1) & (F.col("rank") <= 10), "multigenes").otherwise(F.element_at(F.array(*map(F.lit, BED_TYPES)), F.col("rank").cast("int")))
     done = chosen.select("key", label.alias("type"), "genes")
-    return r.select("key").join(done, "key", "left").withColumn("type", F.coalesce("type", F.lit("intergenic"))).withColumnRenamed("key", key)
+    return r.select("key").join(done.hint("merge"), "key", "left").withColumn("type", F.coalesce("type", F.lit("intergenic"))).withColumnRenamed("key", key)
 
 
 def _side(up: int, down: int, other: Column) -> Column:
@@ -351,14 +351,16 @@ def variants_on_reads(df: DataFrame, variants: DataFrame, key: str = "aln_id", w
     compared with every allele and the longest one that fits counts; an insertion needs its inserted bases. With
     ``phased`` the block's name and the allele's number are given instead.
     """
-    v = variants.select(F.col("chrom").alias("vc"), F.col("pos").alias("vpos"), (F.col("pos") - 1).alias("v0"), (F.col("pos") - 1 + F.length(F.col("alleles")[0])).alias("v1"), "alleles", *(["block"] if phased else []))
+    v = variants.where(F.length(F.col("alleles")[0]) > 0).select(F.col("chrom").alias("vc"), F.col("pos").alias("vpos"), (F.col("pos") - 1).alias("v0"), F.col("pos").alias("v1"), "alleles", *(["block"] if phased else []))
     rows = df.where(~flags.has(flags.UNMAPPED) & F.col("pos").isNotNull() & F.col("seq").isNotNull() & (F.col("seq") != "*"))
-    reads = rows.select(F.col(key).alias("key"), "chrom", flags.read_strand().alias("strand"), "pos", "cigar", "seq", (F.col("pos") - 1).alias("from"), cigar.end_position(F.col("pos"), F.col("cigar")).alias("to"))
-    hit = intervals.overlap_join(reads, v, ("chrom", "from", "to"), ("vc", "v0", "v1"))
-    offset = cigar.read_offset(F.col("pos"), F.col("cigar"), F.col("vpos"))
-    after = cigar.read_offset(F.col("pos"), F.col("cigar"), F.col("vpos") + F.length(F.col("alleles")[0]))
+    reads = rows.select(F.col(key).alias("key"), "chrom", flags.read_strand().alias("strand"), "pos", "cigar", "seq", F.inline(cigar.segments(F.col("pos"), F.col("cigar")))).withColumn("from", F.col("lo") - 1)
+    hit = intervals.overlap_join(reads, v, ("chrom", "from", "hi"), ("vc", "v0", "v1"), size=VARIANT_BIN)
+    # only the end of an allele that reaches beyond its piece of the read needs the whole CIGAR
+    offset = F.col("q") + F.col("vpos") - F.col("lo")
+    behind = F.col("vpos") + F.length(F.col("alleles")[0])
+    after = F.when(behind <= F.col("hi"), F.col("q") + behind - F.col("lo")).otherwise(cigar.read_offset(F.col("pos"), F.col("cigar"), behind))
     carried = F.when(F.col("o2").isNotNull(), F.substring("seq", F.col("o"), F.greatest(F.col("o2") - F.col("o"), F.lit(0)))).otherwise(F.substring("seq", F.col("o"), F.length(F.col("alleles")[0])))
-    found = hit.withColumns({"o": offset, "o2": after}).where("o is not null").withColumn("own", carried).withColumn("n", F.array_position("alleles", F.col("own"))).where("n > 0")
+    found = hit.withColumns({"o": offset, "o2": after}).withColumn("own", carried).withColumn("n", F.array_position("alleles", F.col("own"))).where("n > 0")
     if not with_reference:
         found = found.where("n > 1")
     place = F.concat("chrom", F.lit(":"), F.col("vpos").cast("string"), F.col("alleles")[0])

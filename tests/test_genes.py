@@ -155,3 +155,11 @@ def plan(df):
 def broadcasts(text):
     """Lines of the joins that broadcast a side, but for the short table of crowded bins."""
     return "\n".join(x for x in text.split("\n") if "BroadcastHashJoin" in x and "_hbin" not in x)
+
+
+def test_variants_meet_pieces_of_reads(spark):
+    """A read's whole span, skips included, met every variant before; now only its aligned pieces do."""
+    v = spark.createDataFrame([("c", 12, ["A", "G"]), ("c", 2000, ["A", "G"]), ("c", 4015, ["CA", "C"])], "chrom string, pos int, alleles array<string>")
+    df = aln(spark, {"pos": 10, "cigar": "2S6M4000N6M1D2M", "seq": "NNTTATCTTCTATGTT"})
+    found = genes.variants_on_reads(df, v, with_reference=True)
+    assert "q#" in plan(found) and found.first().vr == "c:12A=/+"
