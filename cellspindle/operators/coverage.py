@@ -115,7 +115,7 @@ def cut_sites(frags: DataFrame) -> DataFrame:
 def peak_matrix(frags: DataFrame, peaks: DataFrame) -> DataFrame:
     """(chrom, start, end, barcode, n): fragments of each barcode that overlap a peak, whatever their duplicates."""
     p = peaks.select(F.col("chrom").alias("pc"), F.col("start").alias("ps"), F.col("end").alias("pe")).distinct()
-    hit = intervals.overlap_join(frags, p, right_on=("pc", "ps", "pe"))
+    hit = intervals.overlap_join(frags, p, right_on=("pc", "ps", "pe"), counted=frags)
     return hit.groupBy("chrom", F.col("_rs").alias("start"), F.col("_re").alias("end"), "barcode").agg(F.count("*").alias("n"))
 
 

@@ -11,6 +11,8 @@ from cellspindle.operators.levels import step_levels
 from cellspindle.operators.periods import periods_and_gaps
 
 BIN = 16_384
+# Parts of a crowded bin, its pairs of rows from which on it is crowded, and pairs of a part from which on it is sliced.
+PARTS, CROWDED, SLICE = 128, 4e6, 5e8
 
 
 def _bins(lo: Column, hi: Column, size: int) -> Column:
@@ -18,14 +20,16 @@ def _bins(lo: Column, hi: Column, size: int) -> Column:
 
 
 def overlap_join(
-    left: DataFrame, right: DataFrame, left_on: tuple[str, str, str] = ("chrom", "start", "end"), right_on: tuple[str, str, str] = ("chrom", "start", "end"), how: str = "inner", size: int = BIN
+    left: DataFrame, right: DataFrame, left_on: tuple[str, str, str] = ("chrom", "start", "end"), right_on: tuple[str, str, str] = ("chrom", "start", "end"), how: str = "inner", size: int = BIN, counted: DataFrame | None = None
 ) -> DataFrame:
     """Pairs of overlapping half-open intervals, or the left rows with (``semi``) or without (``anti``) one.
 
     The intervals are spread over fixed bins and joined on (chrom, bin); a pair that shares several bins is kept in the
     first of them. For ``semi`` and ``anti`` each distinct left interval is looked up once, and no pair leaves the join. Column names of the
     two sides must differ, except that the right side's interval columns may be renamed by ``right_on``. Null or empty
-    intervals overlap nothing. Skewed bins are left to adaptive execution, which splits them. The rows of a side grow with
+    intervals overlap nothing. Adaptive execution splits bins of many bytes, not those of many pairs: for ``inner``, with
+    ``counted`` (the left rows, or others that lie alike) crowded bins are cut into parts, and into slices of the left rows
+    where parts are crowded. The rows of a side grow with
     its bins, which the planner's estimates leave out, so no side is broadcast.
     """
     lc, ls, le = left_on
@@ -36,6 +40,9 @@ def overlap_join(
     hit = (F.col("_rs") < F.col(le)) & (F.col("_re") > F.col(ls))
     if how == "inner":
         l = left.select("*", F.explode(bins).alias("_lbin"))  # noqa: E741
+        if counted is not None:
+            crowded = F.broadcast(_crowded(counted.select(F.col(lc).alias("_hc"), F.floor(F.col(ls) / size).alias("_hbin")), r.select("_rc", "_rbin")))
+            return _join_parts(l, r, crowded, left_on, size, hit)
         first = F.greatest(F.floor(F.col(ls) / size), F.floor(F.col("_rs") / size)) == F.col("_lbin")
         return l.join(r.hint("merge"), (F.col(lc) == F.col("_rc")) & (F.col("_lbin") == F.col("_rbin")) & hit & first).drop("_lbin", "_rbin", "_rc")
     if how not in ("semi", "anti"):
@@ -53,6 +60,33 @@ def overlap_join(
     return left.join(found, (F.col(lc) == F.col("_lc")) & (F.col(ls) == F.col("_ls")) & (F.col(le) == F.col("_le")), f"left_{how}")
 
 
+def _crowded(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(_hc, _hbin, _n): the bins of many pairs, at most as many as a genome has bins, and the slices of each of their parts."""
+    lefts = left.where("_hc is not null and _hbin is not null").groupBy("_hc", "_hbin").agg(F.count("*").cast("double").alias("a"))
+    rights = right.groupBy("_rc", "_rbin").agg(F.count("*").cast("double").alias("b"))
+    pairs = lefts.join(rights.hint("merge"), (F.col("_hc") == F.col("_rc")) & (F.col("_hbin") == F.col("_rbin"))).withColumn("pairs", F.col("a") * F.col("b"))
+    return pairs.where(F.col("pairs") > CROWDED).select("_hc", "_hbin", F.least(F.ceil(F.col("pairs") / PARTS / SLICE), F.lit(1024)).cast("int").alias("_n"))
+
+
+def _join_parts(l: DataFrame, r: DataFrame, crowded: DataFrame, left_on: tuple[str, str, str], size: int, hit: Column) -> DataFrame:  # noqa: E741
+    """The inner join over bins, and in crowded ones over their parts and slices; a pair is kept in its first bin and part."""
+    lc, ls, le = left_on
+    part = max(1, size // PARTS)
+
+    def parts(df: DataFrame, c: str, b: str, lo: Column, hi: Column) -> DataFrame:
+        both = df.join(crowded, (F.col(c) == F.col("_hc")) & (F.col(b) == F.col("_hbin")), "left").drop("_hc", "_hbin")
+        begin, end = F.greatest(lo, F.col(b) * size), F.least(hi, (F.col(b) + 1) * size)
+        return both.withColumn("_part", F.explode(F.when(F.col("_n").isNotNull(), _bins(begin, end, part)).otherwise(F.array(F.lit(-1).cast("bigint")))))
+
+    hashed = [c for c, kind in l.dtypes if "map<" not in kind]
+    ours = parts(l, lc, "_lbin", F.col(ls), F.col(le)).withColumn("_slice", F.when(F.col("_n") > 1, F.pmod(F.xxhash64(*hashed), F.col("_n")).cast("int")).otherwise(0)).drop("_n")
+    theirs = parts(r, "_rc", "_rbin", F.col("_rs"), F.col("_re")).withColumnRenamed("_part", "_rpart").withColumn("_rslice", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    at = F.greatest(F.col(ls), F.col("_rs"))
+    first = (F.floor(at / size) == F.col("_lbin")) & ((F.col("_part") == -1) | (F.floor(at / part) == F.col("_part")))
+    keys = (F.col(lc) == F.col("_rc")) & (F.col("_lbin") == F.col("_rbin")) & (F.col("_part") == F.col("_rpart")) & (F.col("_slice") == F.col("_rslice"))
+    return ours.join(theirs.hint("merge"), keys & hit & first).drop("_lbin", "_rbin", "_rc", "_part", "_rpart", "_slice", "_rslice")
+
+
 def expand(df: DataFrame, up: int, down: int, stranded: bool = True) -> DataFrame:
     """Widen by ``up`` bases before and ``down`` after; with a `-` strand the sides swap. Starts stop at 0."""
     minus = F.coalesce(F.col("strand") == "-", F.lit(False)) if stranded else F.lit(False)

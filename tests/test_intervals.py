@@ -70,3 +70,35 @@ def test_distinct(spark):
     assert intervals.distinct_regions(df).count() == 2
     assert intervals.distinct_regions(df, with_name=True).count() == 3
     assert intervals.union_regions([df, df.drop("name")]).count() == 6
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_crowded_bins_equal_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(intervals, "CROWDED", 2)
+    monkeypatch.setattr(intervals, "SLICE", 0.5)
+    rng = random.Random(4)
+    make = lambda n: [(rng.choice("ab"), a := rng.randrange(-50, 2000), a + rng.choice([0, 1, 20, 900])) for _ in range(n)]
+    left, right = make(80), make(60)
+    l = spark.createDataFrame([(i, *x, {"k": "v"}) for i, x in enumerate(left)], "i int, chrom string, start int, end int, m map<string,string>")  # noqa: E741
+    r = spark.createDataFrame([(j, *x) for j, x in enumerate(right)], "j int, rc string, rs int, re int")
+    want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if x[0] == y[0] and x[1] < y[2] and y[1] < x[2] and x[1] < x[2] and y[1] < y[2]}
+    got = [(x.i, x.j) for x in intervals.overlap_join(l, r, right_on=("rc", "rs", "re"), size=size, counted=l).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_peaks_in_crowded_bins(spark, monkeypatch):
+    from cellspindle.operators import coverage
+
+    monkeypatch.setattr(intervals, "CROWDED", 2)
+    frags = spark.createDataFrame([("c", 0, 900, "x", 1), ("c", 10, 20, "x", 2), ("c", 890, 900, "y", 1)], "chrom string, start int, end int, barcode string, dup long")
+    peaks = spark.createDataFrame([("c", 5, 895), ("c", 5, 895), ("c", 0, 10)], "chrom string, start int, end int")
+    found = coverage.peak_matrix(frags, peaks)
+    assert "_part" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r)[1:] for r in found.collect()) == [(0, 10, "x", 1), (5, 895, "x", 2), (5, 895, "y", 1)]
+
+
+def test_overlap_query_cuts_crowded_bins(spark):
+    from cellspindle.plans import genomics
+
+    found = genomics.QUERIES["overlap_join"](spark, "/root/testdata/sf0.001")
+    assert "_part" in found._jdf.queryExecution().executedPlan().toString()
