@@ -163,3 +163,13 @@ def test_variants_meet_pieces_of_reads(spark):
     df = aln(spark, {"pos": 10, "cigar": "2S6M4000N6M1D2M", "seq": "NNTTATCTTCTATGTT"})
     found = genes.variants_on_reads(df, v, with_reference=True)
     assert "q#" in plan(found) and found.first().vr == "c:12A=/+"
+
+
+def test_types_without_details(spark, two_exons, monkeypatch):
+    from cellspindle.operators import intervals
+
+    monkeypatch.setattr(intervals, "CROWDED", 0)
+    df = aln(spark, *[{"pos": 90 + 7 * i, "cigar": "20M", "flag": 16 * (i % 2)} for i in range(20)], {"pos": 150, "cigar": "51M100N50M"})
+    types, full = genes.read_types(df, two_exons), genes.annotate_reads(df, two_exons)
+    assert "_part" in plan(full) and "collect_list" in plan(full) and "collect_list" not in plan(types)
+    assert sorted((r.aln_id, r.re) for r in types.collect()) == sorted((r.aln_id, r.re) for r in full.collect())
