@@ -69,7 +69,8 @@ def spans(s: SparkSession, d: str) -> DataFrame:
 
 
 def overlaps(s: SparkSession, d: str, how: str) -> DataFrame:
-    hit = intervals.overlap_join(spans(s, d), wide(s, d), ("c", "s", "e"), ("chrom", "start", "end"), how)
+    left = spans(s, d)
+    hit = intervals.overlap_join(left, wide(s, d), ("c", "s", "e"), ("chrom", "start", "end"), how, counted=left)
     return hit.select("aln_id", "track", "start", "end", "strand", "name") if how == "inner" else hit.select("aln_id")
 
 
