@@ -193,7 +193,7 @@ QUERIES = {
     "region_types": lambda s, d: genes.type_report(bed_types(s, d), table(s, d, "bed").select("bed_id", F.col("bed_start").alias("start"), F.col("bed_end").alias("end")), "bed_id"),
     "reads_in_regions": lambda s, d: text.in_regions(aln(s, d), wide(s, d)).select("aln_id", "chrom", "pos"),
     "depth_in_regions": lambda s, d: coverage.depth_in_regions(coverage.depth(aln(s, d)), regions(s, d)).drop("cell"),
-    "rescue": lambda s, d: genes.rescue_multimappers(aln(s, d), genes.annotate_reads(aln(s, d), models(s, d))).select("aln_id", "flag", "mapq"),
+    "rescue": lambda s, d: genes.rescue_multimappers(aln(s, d), genes.read_types(aln(s, d), models(s, d))).select("aln_id", "flag", "mapq"),
     "contigs": lambda s, d: text.contigs(table(s, d, "sam_pool")),
     "sam_alignments": lambda s, d: text.alignments(table(s, d, "sam_pool")).select("aln_id", "qname", "chrom", "pos", F.col("tags")["CB"].alias("cb"), F.col("tags")["GN"].alias("gn")),
     "block_function": lambda s, d: blocks.apply_to_blocks(table(s, d, "read1").where("seq is not null"), ["SR"], longest_read),
